@@ -58,7 +58,7 @@ def merge(chunks: DataFrame, names: list[str], bits: int) -> dict[str, np.ndarra
         return pa.table({"name": [key[0].as_py()], "chunk": pa.array([key[1].as_py()], pa.int32()), "piece": pa.array([total.tobytes()], pa.binary())})
 
     merged = {n: np.zeros(bits // 8, np.uint8) for n in names}
-    for row in chunks.groupBy("name", "chunk").applyInArrow(fold, PIECES).toLocalIterator():
+    for row in chunks.groupBy("name", "chunk").applyInArrow(fold, PIECES).collect():
         at = row["chunk"] * min(CHUNK, bits // 8)
         merged[row["name"]][at : at + len(row["piece"])] = np.frombuffer(row["piece"], np.uint8)
     return merged
