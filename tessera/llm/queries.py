@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from tessera.llm import canonical, cross_split, near_duplicates
+from tessera.llm import canonical, cross_split, near_duplicates, tokens, truncation
 from tessera.sources.tables import table
 
 
 def queries():
     return {
+        "p1_found": lambda s, d: truncation.truncated(table(s, d, "evaluation_records"), table(s, d, "examples")),
+        "p1_report": lambda s, d: truncation.truncation_report(table(s, d, "evaluation_records"), table(s, d, "examples")),
         "p3_found": lambda s, d: cross_split.overlap_pairs(table(s, d, "examples")),
         "p3_report": lambda s, d: cross_split.overlap_report(table(s, d, "examples")),
         "p6_found": lambda s, d: near_duplicates.near_duplicate_pairs(table(s, d, "examples")),
         "p6_links": lambda s, d: near_duplicates.near_duplicate_links(table(s, d, "examples")),
         "p7_found": lambda s, d: canonical.copies(table(s, d, "examples")),
         "p7_collapsed": lambda s, d: canonical.collapsed(table(s, d, "examples")),
+        "p8_ids": lambda s, d: tokens.token_ids(table(s, d, "documents")),
     }
 
 
