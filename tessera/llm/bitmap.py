@@ -45,22 +45,33 @@ def pieces(name: str, filled: np.ndarray):
 PIECES = "name string, chunk int, piece binary"
 
 
-def merge(chunks: DataFrame, names: list[str], bits: int) -> dict[str, np.ndarray]:
-    """OR the chunks of all tasks; the driver receives ``bits / 8`` bytes a name at most."""
+def merge(chunks: DataFrame, names: list[str], bits: int, twice: dict[str, str] | None = None) -> dict[str, np.ndarray]:
+    """OR the chunks of all tasks; the driver receives ``bits / 8`` bytes a name at most.
+
+    ``twice`` maps a name to another that also gets the bits set by two tasks or more.
+    """
 
     def fold(key, table):
         import pyarrow as pa
 
-        total = None
+        total = again = None
         for piece in table.column("piece").to_pylist():
             part = np.frombuffer(piece, np.uint8)
-            total = part.copy() if total is None else np.bitwise_or(total, part, out=total)
-        return pa.table({"name": [key[0].as_py()], "chunk": pa.array([key[1].as_py()], pa.int32()), "piece": pa.array([total.tobytes()], pa.binary())})
+            if total is None:
+                total, again = part.copy(), np.zeros(len(part), np.uint8)
+                continue
+            again |= total & part
+            total |= part
+        out = [(key[0].as_py(), total)]
+        other = (twice or {}).get(out[0][0])
+        if other and again.any():
+            out.append((other, again))
+        return pa.table({"name": [n for n, _ in out], "chunk": pa.array([key[1].as_py()] * len(out), pa.int32()), "piece": pa.array([p.tobytes() for _, p in out], pa.binary())})
 
     merged = {n: np.zeros(bits // 8, np.uint8) for n in names}
     for row in chunks.groupBy("name", "chunk").applyInArrow(fold, PIECES).collect():
         at = row["chunk"] * min(CHUNK, bits // 8)
-        merged[row["name"]][at : at + len(row["piece"])] = np.frombuffer(row["piece"], np.uint8)
+        merged[row["name"]][at : at + len(row["piece"])] |= np.frombuffer(row["piece"], np.uint8)
     return merged
 
 

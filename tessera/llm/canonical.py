@@ -28,9 +28,10 @@ def fingerprints(examples: DataFrame) -> DataFrame:
     gap_free = F.transform(F.concat(F.array(F.col("question")), F.array_compact("options")), lambda x: F.translate(x, GAP, " "))
     # One pass over all fields: nothing composes across the gap, and the pattern leaves it in place.
     folded = F.regexp_replace(fold(F.array_join(gap_free, GAP)), NON_WORD_RUN.replace("_]", "_" + GAP + "]"), " ")
-    fields = F.transform(F.split(folded, GAP), lambda x: F.trim(x))
-    canonical = F.concat_ws(GAP, F.element_at(fields, 1), F.array_join(F.array_sort(F.slice(fields, F.lit(2), F.size(fields))), GAP))
-    rows = taking_part(examples).select("example_id", canonical.alias("c"))
+    # Three projections, each used more than once by the next, so none is computed twice.
+    fields = taking_part(examples).select("example_id", F.split(folded, GAP).alias("f"))
+    fields = fields.select("example_id", F.trim(F.col("f")[0]).alias("q"), F.transform(F.slice("f", F.lit(2), F.size("f")), lambda x: F.trim(x)).alias("o"))
+    rows = fields.select("example_id", F.concat_ws(GAP, "q", F.array_join(F.array_sort("o"), GAP)).alias("c"))
     return rows.select("example_id", F.unhex(F.md5("c")).alias("h128"), F.xxhash64("c").alias("h64")).distinct()
 
 

@@ -154,19 +154,27 @@ def class_pairs(sets: DataFrame, num: int, den: int, *, between_roles: bool = Fa
 
         filled: dict[str, np.ndarray] = {}
         for block, flat, offsets in _blocks(batches):
-            sig, owner, gap = signatures(flat, offsets, num, den, variants=between_roles)
+            sig, owner, gap = signatures(flat, offsets, num, den)
+            if not between_roles:
+                once = filled.setdefault("00", np.zeros(bits // 8, np.uint8))
+                again = filled.setdefault("02", np.zeros(bits // 8, np.uint8))
+                values, counts = np.unique(sig[~gap], return_counts=True)
+                bitmap.add(again, values[(counts > 1) | bitmap.has(once, values)])
+                bitmap.add(once, values)
+                bitmap.add(filled.setdefault("01", np.zeros(bits // 8, np.uint8)), sig[gap])
+                continue
             role = block.column("role").to_numpy(zero_copy_only=False)[owner]
             for r in np.unique(role):
                 for g in (False, True):
-                    if not g or (between_roles and r == 2):
+                    if not g or r == 2:
                         bitmap.add(filled.setdefault(f"{r}{int(g)}", np.zeros(bits // 8, np.uint8)), sig[(role == r) & (gap == g)])
         for name, array in filled.items():
             n, c, p = bitmap.pieces(name, array)
             yield pa.RecordBatch.from_pydict({"name": pa.array(n, pa.string()), "chunk": c, "piece": pa.array(p, pa.binary())})
 
-    names = ["10", "20", "21"] if between_roles else ["00"]
+    names = ["10", "20", "21"] if between_roles else ["00", "01", "02"]
     spark = sets.sparkSession
-    filters = spark.sparkContext.broadcast(bitmap.merge(scan.mapInArrow(fill, bitmap.PIECES), names, bits))
+    filters = spark.sparkContext.broadcast(bitmap.merge(scan.mapInArrow(fill, bitmap.PIECES), names, bits, {"00": "02"}))
 
     def emit(batches):
         import pyarrow as pa
@@ -179,7 +187,8 @@ def class_pairs(sets: DataFrame, num: int, den: int, *, between_roles: bool = Fa
                 one = bitmap.has(have["20"], sig) | (~gap & bitmap.has(have["21"], sig))
                 keep = np.where(role == 1, one, ~gap | bitmap.has(have["10"], sig))
             else:
-                keep = ~gap | bitmap.has(have["00"], sig)
+                # A variant needs a set with exactly that segment; a segment needs a second one or a variant.
+                keep = np.where(gap, bitmap.has(have["00"], sig), bitmap.has(have["02"], sig) | bitmap.has(have["01"], sig))
             sig, owner, gap = sig[keep], owner[keep], gap[keep]
             p0, p1 = parities(flat, offsets)
             cls = block.column("cls").to_numpy(zero_copy_only=False)
