@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import canonical, cross_split, near_duplicates, tokens, truncation
+from tessera.llm import canonical, cross_split, near_duplicates, packing, reading_level, target_sample, tokens, truncation
 from tessera.sources.tables import table
 
 
@@ -12,11 +12,20 @@ def queries():
         "p1_report": lambda s, d: truncation.truncation_report(table(s, d, "evaluation_records"), table(s, d, "examples")),
         "p3_found": lambda s, d: cross_split.overlap_pairs(table(s, d, "examples")),
         "p3_report": lambda s, d: cross_split.overlap_report(table(s, d, "examples")),
+        "p5_found": lambda s, d: target_sample.unmet(table(s, d, "examples"), table(s, d, "sample_targets")),
+        "p5_report": lambda s, d: target_sample.target_report(table(s, d, "examples"), table(s, d, "sample_targets")),
+        "p5_sample": lambda s, d: target_sample.draw(table(s, d, "examples"), table(s, d, "sample_targets")),
         "p6_found": lambda s, d: near_duplicates.near_duplicate_pairs(table(s, d, "examples")),
         "p6_links": lambda s, d: near_duplicates.near_duplicate_links(table(s, d, "examples")),
         "p7_found": lambda s, d: canonical.copies(table(s, d, "examples")),
         "p7_collapsed": lambda s, d: canonical.collapsed(table(s, d, "examples")),
         "p8_ids": lambda s, d: tokens.token_ids(table(s, d, "documents")),
+        "p9_found": lambda s, d: packing.oversized(table(s, d, "documents")),
+        "p9_containers": lambda s, d: packing.pack(table(s, d, "documents")),
+        "p9_report": lambda s, d: packing.fill_report(table(s, d, "documents")),
+        "p10_found": lambda s, d: reading_level.demanding(table(s, d, "documents"), table(s, d, "reading_labels")),
+        "p10_levels": lambda s, d: reading_level.graded(table(s, d, "documents"), table(s, d, "reading_labels")),
+        "p10_profile": lambda s, d: reading_level.profile(table(s, d, "documents"), table(s, d, "reading_labels")),
     }
 
 

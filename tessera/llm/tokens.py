@@ -16,6 +16,7 @@ text.  Lone surrogates cannot occur in Parquet strings.
 
 from __future__ import annotations
 
+import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,8 +148,6 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", *, path:
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
     """Number of tokens of a text (0 for null), as an Arrow UDF column."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         enc = encoder(path)
