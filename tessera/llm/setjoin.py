@@ -17,7 +17,7 @@ What keeps it small:
 * Equal sets form a class; only classes are joined, members are added at the end.
 * A wildcard variant matters only where some set has exactly that segment, so
   variants are sent through a fixed-size filter of all segments first.
-* Each signature carries the parity of its set's words in 128 buckets.  A word
+* Each signature carries the parity of its set's words in 64 buckets.  A word
   that differs flips one bit, so more than D different bits rule a pair out
   without the words.  The test is part of the join condition: a bucket of common
   words costs comparisons and no rows.
@@ -35,7 +35,7 @@ from tessera.llm import bitmap
 from tessera.plans.staging import stage
 
 SETS = "cls bigint, chk bigint, role int, words array<bigint>"
-SIGS = "sig bigint, cls bigint, p0 bigint, p1 bigint, n int, role int, gap boolean"
+SIGS = "sig bigint, cls bigint, parity bigint, meta int"  # meta: size * 8 + role * 2 + wildcard variant
 _SEEN = 1 << 18
 
 
@@ -87,16 +87,11 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, num: int, den: int, varian
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def parities(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parity of the number of words in each of 128 buckets, as two 64-bit words a set."""
-    bucket = mix(flat ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(57)
-    bit = np.uint64(1) << (bucket & np.uint64(63))
-    halves = []
-    for half in (0, 1):
-        padded = np.append(np.where(bucket >> np.uint64(6) == half, bit, np.uint64(0)), np.uint64(0))
-        value = np.bitwise_xor.reduceat(padded, offsets[:-1])
-        halves.append(np.where(np.diff(offsets) > 0, value, np.uint64(0)))
-    return halves[0], halves[1]
+def parities(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Parity of the number of words in each of 64 buckets, as one 64-bit word a set."""
+    bit = np.uint64(1) << (mix(flat ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(58))
+    value = np.bitwise_xor.reduceat(np.append(bit, np.uint64(0)), offsets[:-1])
+    return np.where(np.diff(offsets) > 0, value, np.uint64(0))
 
 
 def _blocks(batches):
@@ -190,20 +185,23 @@ def class_pairs(sets: DataFrame, num: int, den: int, *, between_roles: bool = Fa
                 # A variant needs a set with exactly that segment; a segment needs a second one or a variant.
                 keep = np.where(gap, bitmap.has(have["00"], sig), bitmap.has(have["02"], sig) | bitmap.has(have["01"], sig))
             sig, owner, gap = sig[keep], owner[keep], gap[keep]
-            p0, p1 = parities(flat, offsets)
             cls = block.column("cls").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"sig": sig.view(np.int64), "cls": cls[owner], "p0": p0[owner].view(np.int64), "p1": p1[owner].view(np.int64), "n": np.diff(offsets)[owner].astype(np.int32), "role": role[keep].astype(np.int32), "gap": gap})
+            meta = np.diff(offsets)[owner] * 8 + role[keep] * 2 + gap
+            yield pa.RecordBatch.from_pydict({"sig": sig.view(np.int64), "cls": cls[owner], "parity": parities(flat, offsets)[owner].view(np.int64), "meta": meta.astype(np.int32)})
 
     index = scan.mapInArrow(emit, SIGS)
-    a, b = index.where(~F.col("gap")).alias("a"), index.alias("b")
-    apart = F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) + F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1")))
-    near = (F.col("a.sig") == F.col("b.sig")) & (apart * (den + num) <= (F.col("a.n") + F.col("b.n")) * (den - num))
-    near &= (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num) & (F.col("a.cls") != F.col("b.cls"))
+    a, b = index.where("meta % 2 = 0").alias("a"), index.alias("b")
+    apart = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity")))
+    n_a, n_b = F.shiftright("a.meta", 3), F.shiftright("b.meta", 3)
+    near = (F.col("a.sig") == F.col("b.sig")) & (apart * (den + num) <= (n_a + n_b) * (den - num))
+    near &= (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (F.col("a.cls") != F.col("b.cls"))
+    variant = F.col("b.meta") % 2 == 1
+    role_a, role_b = F.shiftright("a.meta", 1) % 4, F.shiftright("b.meta", 1) % 4
     if between_roles:
-        near &= (F.col("a.role") != F.col("b.role")) & (F.col("b.gap") | (F.col("a.role") == 1))
-        swap = F.col("a.role") != 1
+        near &= (role_a != role_b) & (variant | (role_a == 1))
+        swap = role_a != 1
     else:
-        near &= F.col("b.gap") | (F.col("a.cls") < F.col("b.cls"))
+        near &= variant | (F.col("a.cls") < F.col("b.cls"))
         swap = F.col("a.cls") > F.col("b.cls")
     found = a.join(b.hint("merge"), near).select(F.when(swap, F.col("b.cls")).otherwise(F.col("a.cls")).alias("cls_a"), F.when(swap, F.col("a.cls")).otherwise(F.col("b.cls")).alias("cls_b")).distinct()
     return verify(scan, stage(found, f"{label}-candidates"), num, den)
