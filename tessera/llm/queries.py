@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import canonical, cross_split, near_duplicates, packing, reading_level, target_sample, tokens, truncation
+from tessera.llm import canonical, cross_split, near_duplicates, packing, reading_level, target_sample, tokens, truncation, vectors
 from tessera.sources.tables import table
 
 
@@ -12,6 +12,9 @@ def queries():
         "p1_report": lambda s, d: truncation.truncation_report(table(s, d, "evaluation_records"), table(s, d, "examples")),
         "p3_found": lambda s, d: cross_split.overlap_pairs(table(s, d, "examples")),
         "p3_report": lambda s, d: cross_split.overlap_report(table(s, d, "examples")),
+        "p4_found": lambda s, d: vectors.similar_pairs(table(s, d, "retrieved_examples")),
+        "p4_neighbours": lambda s, d: vectors.neighbours(table(s, d, "retrieved_examples")),
+        "p4_search": lambda s, d: vectors.search(table(s, d, "retrieved_examples")),
         "p5_found": lambda s, d: target_sample.unmet(table(s, d, "examples"), table(s, d, "sample_targets")),
         "p5_report": lambda s, d: target_sample.target_report(table(s, d, "examples"), table(s, d, "sample_targets")),
         "p5_sample": lambda s, d: target_sample.draw(table(s, d, "examples"), table(s, d, "sample_targets")),
