@@ -21,7 +21,7 @@ def fold(text: Column) -> Column:
 
     Pure ASCII needs neither, only ``lower``; the test is two length reads.
     """
-    composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
     folded = F.call_function("reflect", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(text.isNotNull(), folded)
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import key_chunks
+from tessera.plans import catalog_items
 from tessera.sources.tables import table
 
+_PARTS = (catalog_items,)
+
 
 def queries():
-    return {
+    own = {
         "p2_found": lambda s, d: key_chunks.skew_report(table(s, d, "examples"), table(s, d, "assignments")),
         "p2_subjects": lambda s, d: _named(key_chunks.profile(table(s, d, "examples"), F.col("subject"), F.col("ingested_at"), F.col("example_id")), "subject"),
         "p2_clients": lambda s, d: _named(key_chunks.profile(table(s, d, "assignments"), F.col("client_id"), F.col("assigned_at"), F.col("example_id")), "client_id"),
     }
+    return own | {k: v for part in _PARTS for k, v in part.queries().items()}
 
 
 def _named(df, name):
@@ -29,7 +33,7 @@ def _profile_sql(source, key, at):
 
 
 def oracle_sql():
-    return {
+    own = {
         "p2_found": """
             SELECT 'subject' AS field, subject AS key_value FROM examples WHERE subject IS NOT NULL GROUP BY subject HAVING count(*) * 20 >= (SELECT count(*) FROM examples)
             UNION ALL
@@ -37,3 +41,4 @@ def oracle_sql():
         "p2_subjects": _profile_sql("examples", "subject", "ingested_at"),
         "p2_clients": _profile_sql("assignments", "client_id", "assigned_at"),
     }
+    return own | {k: v for part in _PARTS for k, v in part.oracle_sql().items()}
