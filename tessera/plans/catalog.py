@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import key_chunks
-from tessera.plans import catalog_eval, catalog_items
+from tessera.plans import catalog_eval, catalog_items, catalog_retrieval
 from tessera.sources.tables import table
 
-_PARTS = (catalog_items, catalog_eval)
+_PARTS = (catalog_items, catalog_eval, catalog_retrieval)
 
 
 def queries():
