@@ -43,7 +43,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT) -> dict |
         return None
     words, level = [r[2] for r in rows], [ngrams.LEVELS.index(r[1]) for r in rows]
     # Each half is scored by the model of the other half; all levels of a text stay together.
-    half = np.array([r[0] % 2 for r in rows])
+    half = np.array([(r[0] * 0x9E3779B97F4A7C15 >> 40) & 1 for r in rows])
     x = np.zeros(len(rows))
     for side in (0, 1):
         other = [i for i in range(len(rows)) if half[i] != side] or list(range(len(rows)))
