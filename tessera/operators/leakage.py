@@ -50,17 +50,27 @@ def _words(rows: DataFrame) -> DataFrame:
     return rows.select("nq").distinct().select("nq", words.alias("w")).where(F.size("w") > 0)
 
 
-def lexical_pairs(support: DataFrame, evaluation: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """snq, enq, shared, total of different normalised questions with Jaccard of at least the threshold."""
+def lexical_pairs(support: DataFrame, evaluation: DataFrame, threshold: tuple[int, int] = THRESHOLD, *, hot: int = 1000) -> DataFrame:
+    """snq, enq, shared, total of different normalised questions with Jaccard of at least the threshold.
+
+    The rarest word two such questions share is in both prefixes, the next one
+    they share at most one place behind.  So a word of more than ``hot`` support
+    questions is no key of its own: it is joined with each word up to there.
+    """
     num, den = threshold
     s, e = _words(support), _words(evaluation)
     frequency = s.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
     def prefix(rows: DataFrame, name: str) -> DataFrame:
+        # t: the rarest words up to one more than the prefix; p: length of the prefix.
+        n, p = F.size("w"), F.size("w") - F.ceil(F.size("w") * num / den).cast("int") + 1
         bits = F.expr("aggregate(w, 0L, (acc, x) -> acc ^ shiftleft(1L, pmod(hash(x), 64)))")
-        sized = rows.select("nq", F.size("w").alias("n"), bits.alias("parity"), F.explode("w").alias("word"))
-        ranked = sized.join(frequency, "word", "left").withColumn("r", F.row_number().over(Window.partitionBy("nq").orderBy(F.coalesce("df", F.lit(0)), "word")))
-        return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("word", F.col("nq").alias(f"{name}nq"), F.col("n").alias(f"{name}n"), F.col("parity").alias(f"{name}p"))
+        sized = rows.select("nq", n.alias("n"), p.alias("p"), bits.alias("parity"), F.explode("w").alias("word")).join(frequency, "word", "left")
+        own = sized.groupBy("nq", "n", "p", "parity").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("t"))  # the words of one question
+        # Sets that may share a single word keep it as a key besides.
+        pairs = "transform(slice(t, i + 2, p - i), y -> concat(x.word, ' ', y.word))"
+        keys = F.expr(f"flatten(transform(slice(t, 1, p), (x, i) -> if(x.df <= {hot}, array(x.word), if(n - p + 1 < 2, array_append({pairs}, x.word), {pairs}))))")
+        return own.select(F.explode(keys).alias("word"), F.col("nq").alias(f"{name}nq"), F.col("n").alias(f"{name}n"), F.col("parity").alias(f"{name}p"))
 
     a, b = prefix(s, "s"), prefix(e, "e")
     near = (F.bit_count(F.col("sp").bitwiseXOR(F.col("ep"))) * (den + num) <= (F.col("sn") + F.col("en")) * (den - num)) & (F.least("sn", "en") * den >= F.greatest("sn", "en") * num)

@@ -24,12 +24,13 @@ def jaccard(a, b):
     return (len(a & b), len(a | b))
 
 
+@pytest.mark.parametrize("hot", [1000, 5, 0])
 @pytest.mark.parametrize("t", [(1, 10), (1, 2), (3, 4), (17, 20), (1, 1)])
-def test_lexical_equals_brute(spark, make_items, t):
+def test_lexical_equals_brute(spark, make_items, t, hot):
     rows = rows_for(1)
     keyed = leakage.keyed(make_items(rows))
     s, e = keyed.where("split = 'train'"), keyed.where("split <> 'train'")
-    got = {(r.snq, r.enq) for r in leakage.lexical_pairs(s, e, t).collect()}
+    got = {(r.snq, r.enq) for r in leakage.lexical_pairs(s, e, t, hot=hot).collect()}
     norm = {i: " ".join(q.replace("?", " ").split()) for i, q, _, _ in rows}
     want = set()
     for a, _, _, sa in rows:
