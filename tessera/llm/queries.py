@@ -32,5 +32,20 @@ def queries():
     }
 
 
+_SPLIT = "CASE WHEN lower(trim(split)) IN ('dev', 'valid', 'val') THEN 'validation' ELSE lower(trim(split)) END"
+_TARGETS = f"""WITH have AS (SELECT {_SPLIT} AS split, subject, count(DISTINCT example_id) AS available FROM examples GROUP BY 1, 2),
+  report AS (SELECT t.split, t.subject, CAST(greatest(coalesce(min_rows, 0), ceil(round(coalesce(target_share, 0) * coalesce(sample_size, 0), 6))) AS BIGINT) AS quota, coalesce(available, 0) AS available
+    FROM sample_targets t LEFT JOIN have h ON t.split = h.split AND t.subject = h.subject)"""
+_UNITS = """WITH u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT DISTINCT vec_id, CAST(vector AS DOUBLE[]) AS v FROM retrieved_examples
+    WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0)),"""
+
+
 def oracle_sql():
-    return {}
+    return {
+        "p4_found": _UNITS
+        + """ s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+            r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s WHERE c >= 0.9)
+            SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE k <= 5""",
+        "p5_found": f"{_TARGETS} SELECT split, subject FROM report WHERE available < quota",
+        "p5_report": f"{_TARGETS} SELECT split, subject, quota, available, greatest(0, quota - available) AS deficit FROM report",
+    }

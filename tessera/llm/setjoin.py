@@ -23,6 +23,12 @@ What keeps it small:
   words costs comparisons and no rows.
 * Buckets are joined by sort-merge under adaptive execution, which splits a hot
   bucket over tasks.
+* A bucket of more than ``HOT`` entries (a segment of common words only) is not
+  compared as a whole: its entries are signed again, with the words dealt anew,
+  and the bucket's key goes into the new keys.  The argument above holds for any
+  way of dealing, so no pair is lost, and the comparisons grow with the new,
+  small buckets.  Hot buckets are known from a fixed-size table of counters; an
+  entry taken for hot without need only costs rows.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ from tessera.plans.staging import stage
 SETS = "cls bigint, chk bigint, role int, words array<bigint>"
 SIGS = "sig bigint, cls bigint, parity bigint, meta int"  # meta: size * 8 + role * 2 + wildcard variant
 _SEEN = 1 << 18
+HOT, COUNTERS = 65_536, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,8 +66,8 @@ def levels(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     return level(sizes + -(-num * sizes // den)), level(sizes + den * sizes // num)
 
 
-def signatures(flat: np.ndarray, offsets: np.ndarray, num: int, den: int, variants: bool = True):
-    """(hash, index of the set, is a wildcard variant) of all signatures of a block of sets."""
+def signatures(flat: np.ndarray, offsets: np.ndarray, num: int, den: int, deal: int = 0):
+    """(hash, index of the set, is a wildcard variant) of all signatures of a block of sets; ``deal`` picks how words fall into segments."""
     sizes = np.diff(offsets)
     low, high = levels(sizes, num, den)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -72,7 +79,7 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, num: int, den: int, varian
         local = np.cumsum(part) - 1
         chosen = part[owner]
         rows, count, m = local[owner[chosen]], int(part.sum()), 1 << k
-        g = mix(flat[chosen] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        g = mix(flat[chosen] + np.uint64((k + 1 + 64 * deal) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         segment = (g >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(g), np.int64)
         key = rows * m + segment
         total = np.zeros(count * m, np.uint64)
@@ -80,13 +87,28 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, num: int, den: int, varian
         tag = mix(np.arange(m, dtype=np.uint64) + np.uint64((k + 1) << 40))
         ids = np.flatnonzero(part)
         out.append((mix(total ^ np.tile(tag, count)), np.repeat(ids, m), np.zeros(count * m, bool)))
-        if variants:
-            out.append((mix((total[key] - g) ^ tag[segment]), ids[rows], np.ones(len(g), bool)))
+        out.append((mix((total[key] - g) ^ tag[segment]), ids[rows], np.ones(len(g), bool)))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def refined(flat: np.ndarray, offsets: np.ndarray, num: int, den: int, sig: np.ndarray, owner: np.ndarray):
+    """Second signatures of hot entries (sig, owner): (hash, owner, is a variant)."""
+    entries = np.unique(np.stack([owner.astype(np.uint64), sig]), axis=1)
+    owners, of = np.unique(entries[0].astype(np.int64), return_inverse=True)
+    sizes = np.diff(offsets)[owners]
+    ends = np.cumsum(sizes)
+    words = flat[np.repeat(offsets[owners] - (ends - sizes), sizes) + np.arange(ends[-1])]
+    second, whose, gap = signatures(words, np.append(0, ends), num, den, deal=1)
+    order = np.argsort(whose, kind="stable")
+    second, gap, count = second[order], gap[order], np.bincount(whose, minlength=len(owners))
+    start = np.cumsum(count) - count
+    repeat = count[of]
+    at = np.repeat(start[of] - (np.cumsum(repeat) - repeat), repeat) + np.arange(repeat.sum())
+    return mix(second[at] ^ np.repeat(entries[1] * np.uint64(0xC2B2AE3D27D4EB4F), repeat)), np.repeat(owners[of], repeat), gap[at]
+
+
 def parities(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Parity of the number of words in each of 64 buckets, as one 64-bit word a set."""
     bit = np.uint64(1) << (mix(flat ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(58))
@@ -104,7 +126,7 @@ def _blocks(batches):
     for batch in batches:
         cls = batch.column("cls").to_numpy(zero_copy_only=False).view(np.uint64)
         role = batch.column("role").to_numpy(zero_copy_only=False).astype(np.uint64)
-        key = mix(cls ^ (role + np.uint64(1)))
+        key = mix(cls ^ (role + np.uint64(1))) ^ batch.column("chk").to_numpy(zero_copy_only=False).view(np.uint64)
         key[key == 0] = 1
         slot = (key & np.uint64(_SEEN - 1)).astype(np.int64)
         _, first = np.unique(key, return_index=True)
@@ -132,7 +154,7 @@ def build_sets(rows: DataFrame, words, label: str, keep: list[str]) -> DataFrame
     return stage(sets, label)
 
 
-def class_pairs(sets: DataFrame, num: int, den: int, *, between_roles: bool = False, label: str = "join") -> DataFrame:
+def class_pairs(sets: DataFrame, num: int, den: int, *, between_roles: bool = False, label: str = "join", hot: int = HOT) -> DataFrame:
     """Pairs of different classes with likeness of at least num / den.
 
     ``sets`` has cls, chk, role, words.  With ``between_roles`` only pairs of a
@@ -148,13 +170,15 @@ def class_pairs(sets: DataFrame, num: int, den: int, *, between_roles: bool = Fa
         import pyarrow as pa
 
         filled: dict[str, np.ndarray] = {}
+        load = np.zeros(COUNTERS, np.int64)
         for block, flat, offsets in _blocks(batches):
             sig, owner, gap = signatures(flat, offsets, num, den)
+            load += np.bincount((sig & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             if not between_roles:
                 once = filled.setdefault("00", np.zeros(bits // 8, np.uint8))
                 again = filled.setdefault("02", np.zeros(bits // 8, np.uint8))
-                values, counts = np.unique(sig[~gap], return_counts=True)
-                bitmap.add(again, values[(counts > 1) | bitmap.has(once, values)])
+                values, repeats = np.unique(sig[~gap], return_counts=True)
+                bitmap.add(again, values[(repeats > 1) | bitmap.has(once, values)])
                 bitmap.add(once, values)
                 bitmap.add(filled.setdefault("01", np.zeros(bits // 8, np.uint8)), sig[gap])
                 continue
@@ -166,10 +190,17 @@ def class_pairs(sets: DataFrame, num: int, den: int, *, between_roles: bool = Fa
         for name, array in filled.items():
             n, c, p = bitmap.pieces(name, array)
             yield pa.RecordBatch.from_pydict({"name": pa.array(n, pa.string()), "chunk": c, "piece": pa.array(p, pa.binary())})
+        n, c, p = bitmap.counted("hot", load, max(1, min(256, hot // 4), 4 * int(load.mean())))
+        yield pa.RecordBatch.from_pydict({"name": pa.array(n, pa.string()), "chunk": c, "piece": pa.array(p, pa.binary())})
 
     names = ["10", "20", "21"] if between_roles else ["00", "01", "02"]
     spark = sets.sparkSession
-    filters = spark.sparkContext.broadcast(bitmap.merge(scan.mapInArrow(fill, bitmap.PIECES), names, bits, {"00": "02"}))
+    merged = bitmap.merge(scan.mapInArrow(fill, bitmap.PIECES), names, bits, {"00": "02"}, "hot")
+    counts = merged.pop("hot")
+    least = max(hot, 8 * counts.pop(-1, 0) // COUNTERS)
+    merged["hot"] = np.zeros(COUNTERS // 8, np.uint8)
+    bitmap.add(merged["hot"], np.array([slot for slot, n in counts.items() if n > least], np.uint64))
+    filters = spark.sparkContext.broadcast(merged)
 
     def emit(batches):
         import pyarrow as pa
@@ -185,8 +216,13 @@ def class_pairs(sets: DataFrame, num: int, den: int, *, between_roles: bool = Fa
                 # A variant needs a set with exactly that segment; a segment needs a second one or a variant.
                 keep = np.where(gap, bitmap.has(have["00"], sig), bitmap.has(have["02"], sig) | bitmap.has(have["01"], sig))
             sig, owner, gap = sig[keep], owner[keep], gap[keep]
+            dense = bitmap.has(have["hot"], sig)
+            if dense.any():
+                again = refined(flat, offsets, num, den, sig[dense], owner[dense])
+                sig, owner, gap = (np.concatenate([x[~dense], y]) for x, y in zip((sig, owner, gap), again))
+            role = block.column("role").to_numpy(zero_copy_only=False)[owner]
             cls = block.column("cls").to_numpy(zero_copy_only=False)
-            meta = np.diff(offsets)[owner] * 8 + role[keep] * 2 + gap
+            meta = np.diff(offsets)[owner] * 8 + role * 2 + gap
             yield pa.RecordBatch.from_pydict({"sig": sig.view(np.int64), "cls": cls[owner], "parity": parities(flat, offsets)[owner].view(np.int64), "meta": meta.astype(np.int32)})
 
     index = scan.mapInArrow(emit, SIGS)
@@ -224,7 +260,8 @@ def verify(scan: DataFrame, candidates: DataFrame, num: int, den: int) -> DataFr
             if hit.any():
                 yield block.filter(pa.array(hit)).select(["cls", "chk", "role", "words"])
 
-    some = scan.mapInArrow(pick, SETS).select("cls", "chk", "words").dropDuplicates(["cls", "chk"])
+    # One exchange by class serves the removal of repeats and both joins.
+    some = scan.mapInArrow(pick, SETS).select("cls", "chk", "words").repartition("cls").dropDuplicates(["cls", "chk"])
     left = some.select(F.col("cls").alias("cls_a"), F.col("chk").alias("chk_a"), F.col("words").alias("words_a"))
     right = some.select(F.col("cls").alias("cls_b"), F.col("chk").alias("chk_b"), F.col("words").alias("words_b"))
     both = candidates.join(left, "cls_a").join(right, "cls_b")

@@ -46,6 +46,7 @@ def brute(rows, num, den):
 def test_joins_equal_brute_force(spark, make_items, seed, vocabulary, threshold):
     rows = corpus(160, seed, vocabulary)
     want = brute(rows, *threshold)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
     df = make_items(rows)
     got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(df, threshold).collect()}
     assert got == set(want)
@@ -70,6 +71,30 @@ def test_signatures_always_share_a_key():
         assert int(p[0] ^ p[1]).bit_count() * 9 <= len(a) + len(b)
 
 
+@pytest.mark.parametrize("hot", [1, 6])
+@pytest.mark.parametrize("roles", [False, True])
+def test_hot_buckets_lose_nothing(spark, make_items, monkeypatch, hot, roles):
+    rows = corpus(220, 8, vocabulary=25, size=(8, 45))
+    want = brute(rows, 4, 5)
+    plain = setjoin.class_pairs
+    monkeypatch.setattr(setjoin, "class_pairs", lambda *a, **k: plain(*a, **k, hot=hot))
+    df = make_items(rows)
+    if roles:
+        assert {tuple(r) for r in cross_split.overlap_pairs(df).collect()} == {p for p, other in want.items() if other}
+    else:
+        assert {tuple(r) for r in near_duplicates.near_duplicate_pairs(df).collect()} == set(want)
+
+
+def test_refined_signatures_keep_pairs_together():
+    r = np.random.default_rng(3)
+    a = r.choice(2**40, size=40, replace=False).astype(np.uint64)
+    b = np.append(a[4:], r.choice(2**40, size=3).astype(np.uint64))
+    sig, owner, gap = setjoin.refined(np.concatenate([a, b]), np.array([0, 40, 79]), 4, 5, np.array([5, 5, 9], np.uint64), np.array([0, 1, 0]))
+    one, two = {(s, g) for s, o, g in zip(sig, owner, gap) if o == 0}, {(s, g) for s, o, g in zip(sig, owner, gap) if o == 1}
+    assert any((s, False) in two or (not g and (s, True) in two) for s, g in one)
+    assert len(one) == 2 * len(setjoin.signatures(a, np.array([0, 40]), 4, 5)[0])
+
+
 def test_bitmap_has_no_false_negatives():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     filled = np.zeros(bitmap.bits_for(5000) // 8, np.uint8)
