@@ -5,6 +5,9 @@ folding, every character that is neither word character nor space to a space,
 spaces collapsed and trimmed.  ``portable`` uses ``lower`` in place of the first
 two steps, which other SQL engines can repeat.  A run of non-word characters
 and spaces always ends as one space, so one pattern does both replacements.
+Letters that are newer than the JVM's Unicode tables (Java 17: version 13) are
+no word characters here; all others agree, code point by code point, with the
+Unicode definition.
 """
 
 from __future__ import annotations
