@@ -89,3 +89,36 @@ def client_seed(seed: Column, round_: Column, client: Column) -> Column:
 def last_summaries(summaries: DataFrame) -> DataFrame:
     """Per arm and seed the summary whose folder comes last by name."""
     return summaries.groupBy("arm", "seed").agg(F.max_by("accuracy", "folder").alias("accuracy"), F.max("folder").alias("folder"))
+
+
+def history_gaps(history: DataFrame, checkpoints: DataFrame, *, completed: int) -> DataFrame:
+    """round, problem: rounds up to ``completed`` that the history lacks (with or without a checkpoint to rebuild them from), and rounds ahead of it.
+
+    Both inputs have a column round.
+    """
+    due = history.sparkSession.range(1, completed + 1).select(F.col("id").cast("int").alias("round"))
+    have = history.select("round").distinct().withColumn("h", F.lit(True))
+    saved = checkpoints.select("round").distinct().withColumn("c", F.lit(True))
+    missing = due.join(have, "round", "left").join(saved, "round", "left").where("h IS NULL").select("round", F.when(F.col("c"), "rebuild").otherwise("lost").alias("problem"))
+    return missing.unionAll(history.where(F.col("round") > completed).select("round", F.lit("ahead").alias("problem")).distinct())
+
+
+def epoch_checkpoints(checkpoints: DataFrame, *by: str, epoch: int) -> DataFrame:
+    """by, name, n_matches of the checkpoints at the end of an epoch; anything but one match is an error to the reader."""
+    return checkpoints.where((F.col("epoch") == epoch) & (F.col("batch_in_epoch") == 0)).groupBy(*by).agg(F.min("name").alias("name"), F.count("*").alias("n_matches"))
+
+
+def fit_overlap(fit: DataFrame, validation: DataFrame) -> DataFrame:
+    """example_id of fit rows that share an id or a question-and-options hash (qh) with validation rows."""
+    by_id = fit.join(validation.select("example_id").distinct(), "example_id", "left_semi")
+    by_text = fit.join(validation.select("qh").distinct(), "qh", "left_semi").select(*fit.columns)
+    return by_id.select("example_id").unionAll(by_text.select("example_id")).distinct()
+
+
+def ordered_identity(rows: DataFrame, *by: str) -> DataFrame:
+    """by, n_rows, identity: a hash of the rows' ids and text hashes (example_id, qh) in id order, equal for equal sets.
+
+    Row hashes are summed, so no group is gathered to be hashed.
+    """
+    half = lambda a: F.sum(F.conv(F.substring(F.md5(F.concat_ws(":", "example_id", "qh")), a, 8), 16, 10).cast("decimal(38,0)"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.md5(F.concat_ws("-", *[half(a).cast("string") for a in (1, 9, 17, 25)])).alias("identity"))

@@ -108,10 +108,17 @@ def queries():
         "select_round": lambda s, d: training.best_round(records(s, d).where("seed IS NOT NULL").groupBy((F.col("client_id") % 9).alias("round"), "seed").agg(F.avg(F.coalesce(F.col("predicted") == F.col("gold"), F.lit(False)).cast("double")).alias("accuracy"))),
         "throughput": lambda s, d: training.throughput(records(s, d).select("arm", F.col("prompt_tokens").alias("exposures"), ((F.col("gold") + 1) * 2).alias("seconds")), "arm"),
         "last_summaries": lambda s, d: training.last_summaries(records(s, d).where("likelihood_confidence IS NOT NULL").select("arm", "seed", F.concat_ws("-", "split", "record_id").alias("folder"), F.col("likelihood_confidence").alias("accuracy"))),
+        "split_identity": lambda s, d: training.ordered_identity(leakage.keyed(_items(s, d), "portable"), "split"),
+        "fit_overlap": lambda s, d: _fit_overlap(s, d),
     }
     return out
 
 
+def _fit_overlap(s, d):
+    keyed = leakage.keyed(_items(s, d), "portable").join(_assigned(s, d).select("example_id", "role"), "example_id")
+    return training.fit_overlap(keyed.where("role = 'fit'").select("example_id", "qh"), keyed.where("role = 'validation'").select("example_id", "qh"))
+
+
 def _shown(s, d):
     """The first five of each pool that are valid items."""
     valid = _items(s, d).select("example_id")
@@ -170,6 +177,7 @@ def _rerank_sql(beta, weighted, name="r"):
 def oracle_sql():
     prior = f"{sql.RECORDS}, {_prior_sql()}"
     full = f"WITH {prior}, {POOL}, {_rerank_sql(0.15, 0.2)}"
+    part = lambda a: f"CAST(CAST(sum(CAST('0x' || substr(m, {a}, 8) AS BIGINT)) AS BIGINT) AS VARCHAR)"
     role_hash = "CAST('0x' || substr(md5('20260901:role:' || example_id), 1, 8) AS BIGINT)"
     dev_hash = "CAST('0x' || substr(md5('20260901:dev:' || example_id), 1, 8) AS BIGINT)"
     return {
@@ -208,6 +216,8 @@ def oracle_sql():
             SELECT example_id, client_id, 'train' AS original_split, CASE WHEN r <= least(greatest(5, round_even(n * (1.0::DOUBLE - 0.8::DOUBLE), 0)), n - 1) THEN 'support' ELSE 'fit' END AS role FROM r UNION ALL SELECT example_id, client_id, original_split, original_split FROM assigned WHERE original_split <> 'train'""",
         "partition_manifest": f"WITH {sql.ASSIGNED} SELECT client_id, role, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(example_id), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM assigned GROUP BY 1, 2",
         "client_seeds": f"WITH {sql.ASSIGNED} SELECT DISTINCT client_id, 42006000 + client_id AS seed FROM assigned",
+        "split_identity": f"WITH {sql.KEYED}, h AS (SELECT split, md5(example_id || ':' || qh) AS m FROM keyed) SELECT split, count(*) AS n_rows, md5({part(1)} || '-' || {part(9)} || '-' || {part(17)} || '-' || {part(25)}) AS identity FROM h GROUP BY 1",
+        "fit_overlap": f"WITH {sql.KEYED}, a AS (SELECT DISTINCT k.example_id, k.qh, x.role FROM keyed k JOIN assignments x ON k.example_id = x.example_id WHERE x.client_id IS NOT NULL) SELECT DISTINCT f.example_id FROM a f JOIN a v ON f.role = 'fit' AND v.role = 'validation' AND (f.example_id = v.example_id OR f.qh = v.qh)",
         "weighted_vector_mean": "SELECT part, CAST(i - 1 AS INTEGER) AS pos, round(sum(x * weight) / sum(weight), 6) AS value FROM (SELECT label % 2 AS part, label + 1 AS weight, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1, 2",
         "communication": "SELECT CAST(sum(len(embedding)) * 4 AS BIGINT) AS bytes_up, CAST(max(len(embedding)) * 20 AS BIGINT) AS bytes_down FROM embeddings",
         "token_weighted_loss": f"WITH {sql.RECORDS} SELECT arm, round(sum((1 - likelihood_confidence) * prompt_tokens) / sum(prompt_tokens), 6) AS loss, CAST(sum(prompt_tokens) AS BIGINT) AS tokens FROM records WHERE likelihood_confidence IS NOT NULL GROUP BY 1",

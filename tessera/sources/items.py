@@ -145,6 +145,32 @@ def head_per_split(rows: DataFrame, limits: dict[str, int], order: list[str]) ->
     return ranked.where(F.col("_rank") <= allowed).drop("_rank")
 
 
+def load_splits(sources: dict[str, DataFrame], adapter, *, limits: dict[str, int] | None = None, fraction: float | None = None, seed: int = 20260901) -> DataFrame:
+    """Items of all sources (split name -> raw rows) through an adapter, with limits a split.
+
+    Without ``fraction`` train, validation and test must all be given; others are
+    left out.  With it only train and validation are read: placeholder subjects
+    go, a part of train is held out by subject as validation, and the given
+    validation becomes test.
+    """
+    from tessera.operators import partition, subjects
+
+    canonical = {{"dev": "validation", "valid": "validation", "val": "validation"}.get(k.lower(), k.lower()): v for k, v in sources.items()}
+    needed = ("train", "validation") if fraction else SPLITS
+    missing = [s for s in needed if s not in canonical]
+    if missing:
+        raise ValueError(f"missing splits: {missing}")
+    rows = {s: adapter(canonical[s], F.lit(s)) for s in needed}
+    if fraction:
+        native = {s: subjects.filter_native(df) for s, df in rows.items()}
+        held = partition.development_holdout(native["train"].drop("split"), fraction=fraction, seed=seed).select(*rows["train"].columns)
+        whole = held.unionByName(native["validation"].withColumn("split", F.lit("test")))
+    else:
+        whole = rows["train"].unionByName(rows["validation"]).unionByName(rows["test"])
+    order = partition.hashed(seed, "limit", F.col("example_id"))
+    return head_per_split(whole.withColumn("_order", order), limits, ["_order", "example_id"]).drop("_order") if limits else whole
+
+
 def read_jsonl(spark, paths) -> DataFrame:
     """Items from JSON lines; a malformed line fails the read, blank lines are skipped."""
     return spark.read.schema(ITEM).option("mode", "FAILFAST").json(paths)

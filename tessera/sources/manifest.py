@@ -91,6 +91,29 @@ def load(spark: SparkSession, root: str, *, config: dict) -> DataFrame:
     return spark.read.parquet(f"{root}/rows")
 
 
+def restamp(root: str, *, old: dict, new: dict, allowed: set[str], dry_run: bool = True) -> dict:
+    """Bind a written table to another configuration that differs in allowed keys only.
+
+    Returns the record of the change; without ``dry_run`` it is written beside
+    the table, after the new marker.  No change, or one outside ``allowed``, is an error.
+    """
+    changed = sorted(k for k in set(old) | set(new) if old.get(k) != new.get(k))
+    if not changed:
+        raise ValueError("nothing to change")
+    refused = [k for k in changed if k not in allowed]
+    if refused:
+        raise ValueError(f"not allowed to change {refused}")
+    with open(_marker(root), encoding="utf-8") as marker:
+        stated = json.load(marker)
+    if stated.get("config_hash") != object_hash(old):
+        raise ValueError("config hash mismatch")
+    record = {"changed": changed, "from": object_hash(old), "to": object_hash(new)}
+    if not dry_run:
+        write_atomic(_marker(root), canonical_json(stated | {"config_hash": record["to"]}))
+        write_atomic(f"{root.rstrip('/')}/migration.json", canonical_json(record))
+    return record
+
+
 def append_run(spark: SparkSession, root: str, run: dict) -> None:
     """One line of the append-only run log."""
     schema = "arm string, seed int, split string, status string, accuracy double, round int, seconds double, error string"

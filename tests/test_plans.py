@@ -42,6 +42,14 @@ def test_manifest_round_trip(spark, make_items, tmp_path):
     assert manifest.load(spark, root, config={"a": 1}).count() == 20
     with pytest.raises(ValueError, match="config"):
         manifest.load(spark, root, config={"a": 2})
+    with pytest.raises(ValueError, match="allowed"):
+        manifest.restamp(root, old={"a": 1}, new={"a": 2}, allowed={"b"})
+    with pytest.raises(ValueError, match="nothing"):
+        manifest.restamp(root, old={"a": 1}, new={"a": 1}, allowed={"a"})
+    assert manifest.restamp(root, old={"a": 1}, new={"a": 2}, allowed={"a"})["changed"] == ["a"]
+    manifest.restamp(root, old={"a": 1}, new={"a": 2}, allowed={"a"}, dry_run=False)
+    assert manifest.load(spark, root, config={"a": 2}).count() == 20
+    manifest.restamp(root, old={"a": 2}, new={"a": 1}, allowed={"a"}, dry_run=False)
     items.limit(1).withColumn("client_id", F.lit(1)).withColumn("role", F.lit("fit")).write.mode("append").partitionBy("client_id", "role").parquet(f"{root}/rows")
     with pytest.raises(ValueError, match="hash mismatch"):
         manifest.load(spark, root, config={"a": 1})

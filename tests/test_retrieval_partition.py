@@ -133,6 +133,34 @@ def test_training_steps(spark):
     assert training.throughput(zero, "arm").first().exposures_per_s == 0.0
 
 
+def test_history_and_identity(spark):
+    history, saved = spark.createDataFrame([(1,), (5,)], "round int"), spark.createDataFrame([(2,)], "round int")
+    assert {(r.round, r.problem) for r in training.history_gaps(history, saved, completed=3).collect()} == {(2, "rebuild"), (3, "lost"), (5, "ahead")}
+    ck = spark.createDataFrame([("a", 1, 0, "x"), ("a", 1, 4, "y"), ("b", 1, 0, "z"), ("b", 1, 0, "w")], "arm string, epoch int, batch_in_epoch int, name string")
+    assert {(r.arm, r.name, r.n_matches) for r in training.epoch_checkpoints(ck, "arm", epoch=1).collect()} == {("a", "x", 1), ("b", "w", 2)}
+    rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "example_id string, qh string")
+    other = spark.createDataFrame([("a", "9"), ("z", "3")], "example_id string, qh string")
+    assert {r.example_id for r in training.fit_overlap(rows, other).collect()} == {"a", "c"}
+    same = lambda df: training.ordered_identity(df).first().identity
+    assert same(rows) == same(rows.repartition(3)) and same(rows) != same(other) and same(rows) != same(rows.union(rows))
+
+
+def test_load_splits(spark):
+    from tessera.sources import items as I
+
+    def raw(prefix, n):
+        return spark.createDataFrame([(f"{prefix}{i}", "q", "a", "b", "c", "d", 1, "Unknown" if i == 0 else f"S{i % 2}", None, None, None, None) for i in range(n)], "id string, question string, opa string, opb string, opc string, opd string, cop int, subject_name string, topic_name string, source string, exam string, exp string")
+
+    sources = {"train": raw("t", 21), "Dev": raw("v", 21), "test": raw("x", 21), "other": raw("o", 2)}
+    plain = I.load_splits(sources, I.adapt_flat, limits={"train": 5})
+    assert Counter(r.split for r in plain.collect()) == {"train": 5, "validation": 21, "test": 21}
+    held = I.load_splits(sources, I.adapt_flat, limits={"train": 5, "test": 3}, fraction=0.2)
+    assert Counter(r.split for r in held.collect()) == {"train": 5, "validation": 4, "test": 3}
+    assert {r.example_id[0] for r in held.where("split = 'test'").collect()} == {"v"}
+    with pytest.raises(ValueError, match="missing"):
+        I.load_splits({"train": sources["train"]}, I.adapt_flat)
+
+
 def test_key_chunks(spark):
     rows = [("hot", f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", f"e{i}") for i in range(0, 300, 3)] + [("b", "2024-01-02 00:00:00", "x"), ("b", None, "y"), ("b", "2024-01-02 01:00:00", "z"), (None, "2024-01-01 00:00:00", "n")]
     df = spark.createDataFrame(rows, "k string, t string, i string").withColumn("t", F.col("t").cast("timestamp")).repartition(6)
