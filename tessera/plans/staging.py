@@ -12,15 +12,25 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """Folder named by ``spark.checkpoint.dir`` or set on the context.
+
+    A temporary one is made only where none is named and the session is local
+    (tests); on a cluster that is an error, since executors could not share it.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        own = context._jsc.sc().getCheckpointDir()
+        named = own.get() if own.isDefined() else None
     if named:
         return named.rstrip("/")
-    own = spark.conf.get("tessera.stage.dir", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="tessera-stage-")
-        spark.conf.set("tessera.stage.dir", own)
-    return own
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = spark.conf.get("tessera.stage.dir", None)
+    if not made:
+        made = "file://" + tempfile.mkdtemp(prefix="tessera-stage-")
+        spark.conf.set("tessera.stage.dir", made)
+    return made
 
 
 def stage(df: DataFrame, label: str, *, by: list[str] | None = None) -> DataFrame:
