@@ -12,8 +12,8 @@ across partitions.
 
 A text above the capacity is cut in full containers and one item for the rest;
 all others stay whole.  Null and empty texts have no tokens and no container.
-A null source is a source of its own.  Rows repeated under one id are items of
-their own.
+A null source is a source of its own.  Rows without an id take no part; rows
+repeated under one id are items of their own.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def _round(items: DataFrame, debts: DataFrame | None, blocks: int, capacity: int
 
 def sized(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, source, n_tokens of every text with a token."""
-    counted = docs.where(F.length("text") > 0).select("doc_id", "source", token_count(F.col("text"), path).alias("n_tokens"))
+    counted = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "source", token_count(F.col("text"), path).alias("n_tokens"))
     return counted.where("n_tokens > 0")
 
 
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, path: str = VOCABULARY, b
         debts = done.where("tokens is null").groupBy("source").agg(F.sum("deficit").alias("deficit"))
         left = items.agg(F.sum("tokens")).first()[0] or 0
         blocks, number = max(1, min(-(-blocks // FAN_IN), -(-left // (capacity * block)))), number + 1
-    return placed.join(sizes.select("doc_id", "n_tokens").dropDuplicates(["doc_id"]), "doc_id").select("container_id", "doc_id", "piece", "source", "tokens", "n_tokens")
+    return placed.join(sizes.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")), "doc_id").select("container_id", "doc_id", "piece", "source", "tokens", "n_tokens")
 
 
 def oversized(docs: DataFrame, *, capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
