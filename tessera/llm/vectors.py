@@ -17,6 +17,10 @@ fixed point (cosine error below 0.00002) and are multiplied in tiles.  Each
 vector keeps its k best per array, so a dense region cannot swell the result.
 Arrays above ``ARRAY`` * 4 are verified in pairs of blocks by several tasks.
 
+The k best of every vector, whatever their cosine, come from all pairs of blocks
+(``neighbours``): where the fifth best lies near 0.6, windows wide enough to hold
+it hold a large share of all vectors.
+
 Vectors that are null, all zero, with a null or non-finite element, or of
 another length take no part.  An id counts once; if it comes with several
 vectors, its best cosine to each other id counts.  Ties in the cosine go to the
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM, K_BEST, MIN_COSINE, RECALL = 64, 5, 0.9, 0.998
-ARRAY, TILE, PRUNE_AT = 8192, 1024, 2_000_000
+ARRAY, TILE, PRUNE_AT, BLOCK = 8192, 1024, 2_000_000, 32_768
 _CODES = "tab int, bucket int, x int, y int, block int, vec_id bigint, code binary, buckets binary"
 _PAIRS = "a bigint, b bigint, cosine double"
 
@@ -113,8 +117,110 @@ def best_pairs(ids_a, xa, ids_b, xb, same: bool, cosine: float, k: int):
     return prune()[0] if size else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def neighbours(vectors: DataFrame, *, k: int = K_BEST, cosine: float = MIN_COSINE, recall: float = RECALL, dim: int = DIM, seed: int = 7, array: int = ARRAY) -> DataFrame:
-    """vec_id, neighbour_id, cosine, rank (1..k) among the neighbours of at least ``cosine``."""
+def _codes(x: np.ndarray):
+    """Arrow column of unit vectors in 16-bit fixed point, after their scale."""
+    import pyarrow as pa
+
+    scale = np.abs(x).max(axis=1)
+    code = np.concatenate([scale.astype(np.float32).view(np.uint8).reshape(-1, 4), np.rint(x / scale[:, None] * 32767).astype(np.int16).view(np.uint8).reshape(len(x), -1)], axis=1)
+    return pa.array([c.tobytes() for c in code], pa.binary())
+
+
+def _decoded(table, dim: int):
+    """Rows kept of an Arrow table of codes, and their ids in ascending order, unit vectors and blocks.
+
+    Rows delivered again are dropped here, where all of them meet.
+    """
+    raw = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, 4 + 2 * dim)
+    unit = raw[:, 4:].copy().view(np.int16).astype(np.float32) * (raw[:, :4].copy().view(np.float32) / 32767)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    ids = table.column("vec_id").to_numpy()
+    block = table.column("block").to_numpy()
+    _, first = np.unique(np.concatenate([ids[:, None].view(np.uint8).reshape(len(ids), -1), raw], axis=1), axis=0, return_index=True)
+    first = first[np.argsort(ids[first], kind="stable")]
+    return first, ids[first], unit[first], block[first]
+
+
+def k_best(ids_a, xa, ids_b, xb, k: int):
+    """(a, b, cosine) of the k best of another id in block b for every id of block a, whatever their cosine.
+
+    Ids ascend in both, so a later vector of the same cosine has no claim.
+    """
+    _, counts = np.unique(ids_b, return_counts=True)
+    keep = (k + 1) * int(counts.max()) if len(counts) else 0  # room for the id itself and for ids of several vectors
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(xa), TILE):
+        x = xa[at : at + TILE]
+        least = np.full(len(x), -np.inf, np.float32)
+        i, j, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        left = 0
+        while left < len(xb):
+            s = x @ xb[left : left + (8 * TILE if left else max(TILE, keep))].T
+            if not left and s.shape[1] > keep:
+                # The first columns give each row a bound; ties with it stay.
+                least = np.nextafter(np.partition(s, s.shape[1] - keep, axis=1)[:, -keep], np.float32(-2))
+            more = np.flatnonzero(s > least[:, None])
+            if len(more):
+                i, j, c = np.concatenate([i, more // s.shape[1]]), np.concatenate([j, more % s.shape[1] + left]), np.concatenate([c, s.ravel()[more]])
+                order = np.lexsort((j, -c, i))
+                i, j, c = i[order], j[order], c[order]
+                start = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+                last = rank == keep - 1
+                least[i[last]] = c[last]
+                i, j, c = i[rank < keep], j[rank < keep], c[rank < keep]
+            left += s.shape[1]
+        a, b = ids_a[i + at], ids_b[j]
+        other = a != b
+        out.append((a[other], b[other], c[other].astype(np.float64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def neighbours(vectors: DataFrame, *, k: int = K_BEST, dim: int = DIM, block: int = BLOCK) -> DataFrame:
+    """vec_id, neighbour_id, cosine, rank (1..k): the k most similar of every vector, however low their cosine.
+
+    Every pair of blocks of ``block`` vectors is multiplied in one task, so no
+    vector is short of k (unless there are fewer others) and none is missed.
+    """
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).select(F.col("vec_id").cast("bigint"), F.col("vector").cast("array<float>"))
+    blocks = max(1, math.ceil(rows.count() / block))
+
+    def emit(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, x = _unit(batch.column("vector"), dim)
+            if not len(at):
+                continue
+            ids, codes = batch.column("vec_id").to_numpy(zero_copy_only=False)[at], _codes(x)
+            mine = ((ids * 0x9E3779B1 >> 7) % blocks).astype(np.int32)
+            for other in range(blocks):
+                yield pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(mine, other).astype(np.int32)), "y": pa.array(np.maximum(mine, other).astype(np.int32)), "block": pa.array(mine), "vec_id": pa.array(ids), "code": codes})
+
+    def verify(key, table):
+        import pyarrow as pa
+
+        x_, y_ = key[0].as_py(), key[1].as_py()
+        _, ids, unit, own = _decoded(table, dim)
+        one, two = own == x_, own == y_
+        found = [k_best(ids[one], unit[one], ids[two], unit[two], k)]
+        if x_ != y_:
+            found.append(k_best(ids[two], unit[two], ids[one], unit[one], k))
+        a, b, c = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
+
+    pairs = rows.mapInArrow(emit, "x int, y int, block int, vec_id bigint, code binary").groupBy("x", "y").applyInArrow(verify, _PAIRS)
+    return _ranked(pairs.repartition("a"), k)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    best = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour_id"), "cosine", "rank")
+
+
+def near(vectors: DataFrame, *, k: int = K_BEST, cosine: float = MIN_COSINE, recall: float = RECALL, dim: int = DIM, seed: int = 7, array: int = ARRAY) -> DataFrame:
+    """vec_id, neighbour_id, cosine, rank (1..k) among the neighbours of at least ``cosine``; a vector without such has no row."""
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).select(F.col("vec_id").cast("bigint"), F.col("vector").cast("array<float>"))
 
@@ -169,9 +275,7 @@ def neighbours(vectors: DataFrame, *, k: int = K_BEST, cosine: float = MIN_COSIN
                 continue
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[at]
             h = hashed(x) if sizes else np.zeros((len(at), tables), np.int64)
-            scale = np.abs(x).max(axis=1)
-            code = np.concatenate([scale.astype(np.float32).view(np.uint8).reshape(-1, 4), np.rint(x / scale[:, None] * 32767).astype(np.int16).view(np.uint8).reshape(-1, 2 * dim)], axis=1)
-            codes = pa.array([c.tobytes() for c in code], pa.binary())
+            codes = _codes(x)
             marks = pa.array([r.tobytes() for r in h.astype(np.int32)], pa.binary())
             for t in range(tables):
                 own, xs, ys, blocks = np.arange(len(at)), np.zeros(len(at), np.int32), np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
@@ -188,14 +292,7 @@ def neighbours(vectors: DataFrame, *, k: int = K_BEST, cosine: float = MIN_COSIN
         import pyarrow as pa
 
         t, x_, y_ = key[0].as_py(), key[2].as_py(), key[3].as_py()
-        raw = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, 4 + 2 * dim)
-        unit = raw[:, 4:].copy().view(np.int16).astype(np.float32) * (raw[:, :4].copy().view(np.float32) / 32767)
-        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        ids = table.column("vec_id").to_numpy()
-        block = table.column("block").to_numpy()
-        # Rows delivered again are dropped here, where all of them meet.
-        _, first = np.unique(np.concatenate([ids[:, None].view(np.uint8).reshape(len(ids), -1), raw], axis=1), axis=0, return_index=True)
-        ids, unit, block = ids[first], unit[first], block[first]
+        first, ids, unit, block = _decoded(table, dim)
         marks = np.frombuffer(b"".join(table.column("buckets").to_pylist()), np.int32).reshape(-1, tables)[first]
         if x_ == y_:
             a, b, c = best_pairs(ids, unit, ids, unit, True, cosine - 2e-5, k)
@@ -210,14 +307,12 @@ def neighbours(vectors: DataFrame, *, k: int = K_BEST, cosine: float = MIN_COSIN
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
 
     pairs = rows.mapInArrow(emit, _CODES).groupBy("tab", "bucket", "x", "y").applyInArrow(verify, _PAIRS)
-    best = pairs.where(F.col("cosine") >= cosine).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour_id"), "cosine", "rank")
+    return _ranked(pairs.where(F.col("cosine") >= cosine), k)
 
 
 def similar_pairs(vectors: DataFrame, **options) -> DataFrame:
     """vec_id_a < vec_id_b of pairs in which one is among the k most similar of the other."""
-    found = neighbours(vectors, **options)
+    found = near(vectors, **options)
     return found.select(F.least("vec_id", "neighbour_id").alias("vec_id_a"), F.greatest("vec_id", "neighbour_id").alias("vec_id_b")).distinct()
 
 

@@ -57,6 +57,24 @@ def test_large_array_is_split(spark):
     assert len(got & want) / len(want) > 0.99
 
 
+@pytest.mark.parametrize("block", [32768, 150])
+def test_every_vector_has_its_neighbours(spark, block):
+    # Unlike vectors: hardly a pair reaches the cosine of p4_found.
+    x = np.random.default_rng(9).normal(size=(500, 64))
+    rows = [(i, v.astype(np.float32).tolist(), None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:40] + [(7, rows[8][1], None)], SCHEMA)
+    got = {}
+    for r in vectors.neighbours(df, block=block).collect():
+        got.setdefault(r.vec_id, {})[r["rank"]] = r.neighbour_id
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    s[7], s[:, 7] = np.maximum(s[7], s[8]), np.maximum(s[:, 7], s[:, 8])  # id 7 has the vector of 8 too
+    np.fill_diagonal(s, -2)
+    assert set(got) == set(range(500)) and all(set(g) == {1, 2, 3, 4, 5} for g in got.values())
+    hits = sum(len(set(got[q].values()) & set(np.argsort(-s[q])[:5])) for q in got)
+    assert hits >= 5 * len(got) - 3
+
+
 def test_search_is_exact(spark):
     x = clusters(500, seed=2, noise=0.5)
     df = spark.createDataFrame([(i, v.astype(np.float32).tolist(), None) for i, v in enumerate(x)] + [(0, x[0].astype(np.float32).tolist(), 1.0)], SCHEMA).repartition(5)
