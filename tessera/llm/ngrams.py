@@ -53,6 +53,11 @@ def fit(texts: list[list[str]], levels: list[int]) -> dict:
     return {"ids": ids, "size": size, "uni": unigram, "keys": np.append(keys, np.int64(2**62)), "bi": bi, "seen": (uni > 0).T}
 
 
+def known_share(model: dict, words: list[str]) -> float:
+    """Share of the words that are in the vocabulary."""
+    return sum(w in model["ids"] for w in words) / max(1, len(words))
+
+
 def surprisals(model: dict, words: list[str]) -> np.ndarray:
     """Surprisal in nats of every word under every level's model."""
     x = encode(words, model["ids"])

@@ -27,7 +27,7 @@ def queries():
         "p9_containers": lambda s, d: packing.pack(table(s, d, "documents")),
         "p9_report": lambda s, d: packing.fill_report(table(s, d, "documents")),
         "p10_found": lambda s, d: reading_level.demanding(table(s, d, "documents"), table(s, d, "reading_labels")),
-        "p10_levels": lambda s, d: reading_level.graded(table(s, d, "documents"), table(s, d, "reading_labels")),
+        "p10_levels": lambda s, d: reading_level.graded(table(s, d, "documents"), table(s, d, "reading_labels"), unnamed=True),
         "p10_profile": lambda s, d: reading_level.profile(table(s, d, "documents"), table(s, d, "reading_labels")),
     }
 

@@ -24,6 +24,7 @@ from tessera.functions.text import normalize
 from tessera.llm import ngrams
 
 MAX_FIT, MAX_FIT_CHARS = 6000, 50_000
+ENGLISH = 0.5  # share of known words from which a text without a language is English
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
@@ -31,6 +32,10 @@ def _english():
     return F.coalesce(F.lower(F.trim("lang")).rlike(r"^en(?:g|glish)?(?:[-_].*)?$"), F.lit(False))
 
 
+def _unnamed():
+    return F.coalesce(F.lower(F.trim("lang")), F.lit("")).isin("", "und")
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT) -> dict | None:
     """Model and isotonic map from a bounded sample; None without labels."""
     known = labels.where(F.col("reading_level").isin(*ngrams.LEVELS)).select(F.col("doc_id").alias("label_id"), F.col("reading_level").alias("level")).distinct()
@@ -55,23 +60,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT) -> dict |
     return model
 
 
-def graded(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT) -> DataFrame:
+def graded(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT, unnamed: bool = False) -> DataFrame:
     """doc_id, lang, source, n_words (by white space), difficulty (0..3), reading_level, surprisal of every document."""
-    return score(docs, fit(docs, labels, max_fit=max_fit))
+    return score(docs, fit(docs, labels, max_fit=max_fit), unnamed=unnamed)
 
 
-def score(docs: DataFrame, fitted: dict | None) -> DataFrame:
+def score(docs: DataFrame, fitted: dict | None, *, unnamed: bool = False) -> DataFrame:
     """As ``graded``, with a fitted model.  Its size is bounded by the sample it was fitted on."""
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != ""))
-    rows = docs.select("doc_id", "lang", "source", n_words.alias("n_words"), F.when(_english(), normalize(F.col("text"))).alias("n"))
+    rows = docs.select("doc_id", "lang", "source", n_words.alias("n_words"), F.when(_english() | (_unnamed() & F.lit(unnamed)), normalize(F.col("text"))).alias("n"), _english().alias("named"))
 
     def run(batches):
         import pyarrow as pa
 
         m = model.value
         for batch in batches:
-            found = [ngrams.grade(m, t.split()) if m and t else (np.nan, np.nan, np.nan) for t in batch.column("n").to_pylist()]
+            texts = zip(batch.column("n").to_pylist(), batch.column("named").to_pylist())
+            found = [ngrams.grade(m, t.split()) if m and t and (named or ngrams.known_share(m, t.split()) >= ENGLISH) else (np.nan, np.nan, np.nan) for t, named in texts]
             raw = np.array(found, float).reshape(-1, 3)
             value = np.interp(raw[:, 0], m["knots"], m["values"]) if m else raw[:, 0]
             none = np.isnan(raw[:, 0])
@@ -91,4 +97,4 @@ def demanding(docs: DataFrame, labels: DataFrame, *, lang: str = "en", min_words
 
 def profile(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per source and level: texts, words, mean difficulty and mean surprisal."""
-    return graded(docs, labels).groupBy("source", "reading_level").agg(F.count("*").alias("texts"), F.sum("n_words").alias("words"), F.round(F.avg("difficulty"), 4).alias("difficulty"), F.round(F.avg("surprisal"), 4).alias("surprisal"))
+    return graded(docs, labels, unnamed=True).groupBy("source", "reading_level").agg(F.count("*").alias("texts"), F.sum("n_words").alias("words"), F.round(F.avg("difficulty"), 4).alias("difficulty"), F.round(F.avg("surprisal"), 4).alias("surprisal"))

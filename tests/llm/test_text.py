@@ -126,6 +126,18 @@ def test_reading_levels(spark):
     assert reading_level.profile(docs, labels).agg(F.sum("texts")).first()[0] == 124
 
 
+def test_texts_without_a_language_are_graded(spark):
+    docs, labels = documents(spark)
+    german = " ".join(["die niere filtert das blut wenn ein patient schwindel hatte"] * 6)
+    more = spark.createDataFrame([(950, german, None, "g"), (951, german, "und", "g"), (952, "the kidney filters blood when a patient had dizziness", " UND ", "g"), (953, "put the cream on your arm and rest", "", "g"), (954, german, "de", "g")], docs.schema)
+    rows = {r.doc_id: r for r in reading_level.graded(docs.unionAll(more), labels, unnamed=True).collect()}
+    unnamed = [r for r in rows.values() if r.doc_id < 120 and r.lang is None]
+    assert len(unnamed) == 24 and sum(r.reading_level == ngrams.LEVELS[r.doc_id % 4] for r in unnamed) >= 22
+    assert [rows[i].reading_level for i in (950, 951, 952, 953, 954)] == [None, None, "secondary", "primary", None]
+    none = {r.source: r.texts for r in reading_level.profile(docs.unionAll(more), labels).where("reading_level is null").collect()}
+    assert none["g"] == 3 and none["s"] == 24 + 3
+
+
 def test_isotonic_is_monotone_and_optimal():
     import numpy as np
 
