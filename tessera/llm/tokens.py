@@ -108,14 +108,17 @@ def _encode_column(df: DataFrame, key: str, text: str, path: str, extra: list[st
 
 
 def _long_ids(rows: DataFrame, path: str, long: int) -> DataFrame:
-    """key, ids of long texts by tree concatenation."""
+    """key, ids of long texts by tree concatenation; one row a row of ``rows``.
+
+    A text is encoded once, under its hash: keys may be null or recur.
+    """
+    rows = rows.withColumn("hash", F.sha2("text", 256))
     pieces = F.ceil(F.length("text") / long).cast("int")
     # Not before the second half of a surrogate pair: Spark counts code points, so any cut is whole characters.
-    cut = rows.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring(F.col("text"), i * long + 1, F.lit(long)))).alias("i", "text"))
-    parts = _encode_column(cut.repartition("key", "i"), "key", "text", path, ["i"])
+    cut = rows.select("hash", F.posexplode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring(F.col("text"), i * long + 1, F.lit(long)))).alias("i", "text"))
+    parts = _encode_column(cut.dropDuplicates(["hash", "i"]), "hash", "text", path, ["i"])
     depth = rows.agg(F.max(pieces)).first()[0] or 1
-    fields = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
-    schema = f"key {fields['key']}, i int, text string, ids array<int>"
+    schema = "hash string, i int, text string, ids array<int>"
 
     def join(table):
         import pyarrow as pa
@@ -123,6 +126,8 @@ def _long_ids(rows: DataFrame, path: str, long: int) -> DataFrame:
         enc = encoder(path)
         table = table.sort_by("i")
         rows = table.to_pylist()
+        if len(rows) > 2 or len(rows) == 2 and rows[0]["i"] + 1 != rows[1]["i"]:
+            raise ValueError(f"pieces {[r['i'] for r in rows]} of a text in one join")
         if len(rows) == 2:
             a, b = rows
             ids = join_halves(enc, a["text"], a["ids"], b["text"], b["ids"])
@@ -130,12 +135,12 @@ def _long_ids(rows: DataFrame, path: str, long: int) -> DataFrame:
         else:
             ids, text = rows[0]["ids"], rows[0]["text"]
         kind = table.schema
-        return pa.table({"key": pa.array([rows[0]["key"]], kind.field("key").type), "i": pa.array([rows[0]["i"] // 2], pa.int32()), "text": pa.array([text], kind.field("text").type), "ids": pa.array([ids], pa.list_(pa.int32()))})
+        return pa.table({"hash": pa.array([rows[0]["hash"]], kind.field("hash").type), "i": pa.array([rows[0]["i"] // 2], pa.int32()), "text": pa.array([text], kind.field("text").type), "ids": pa.array([ids], pa.list_(pa.int32()))})
 
     while depth > 1:
-        parts = parts.withColumn("half", F.col("i").bitwiseAND(F.lit(-2))).groupBy("key", "half").applyInArrow(lambda t: join(t.drop_columns(["half"])), schema)
+        parts = parts.withColumn("half", F.col("i").bitwiseAND(F.lit(-2))).groupBy("hash", "half").applyInArrow(lambda t: join(t.drop_columns(["half"])), schema)
         depth = -(-depth // 2)
-    return parts.select("key", "ids")
+    return rows.select("key", "hash").join(parts.select("hash", "ids"), "hash").select("key", "ids")
 
 
 def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", *, path: str = VOCABULARY, long: int = LONG) -> DataFrame:

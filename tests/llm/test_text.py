@@ -54,6 +54,15 @@ def test_token_ids_equal_direct_encoding(spark):
     assert tokens.token_ids(df.where("false")).count() == 0
 
 
+def test_long_rows_with_equal_or_null_ids(spark):
+    enc = tokens.encoder()
+    r = random.Random(4)
+    a, b, c = ("".join(r.choice("ab c1.é漢 ") for _ in range(n)) for n in (2500, 3300, 4000))
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, b), (None, c), (None, c), (None, "short"), (3, c)]
+    got = tokens.token_ids(spark.createDataFrame(rows, "doc_id bigint, text string"), long=1000).collect()
+    assert sorted((x.doc_id or 0, x.ids) for x in got) == sorted((i or 0, enc.encode_ordinary(t)) for i, t in rows)
+
+
 def test_join_halves_random():
     enc = tokens.encoder()
     r = random.Random(7)
