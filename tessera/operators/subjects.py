@@ -65,6 +65,22 @@ def total_variation(assigned: DataFrame, top: int | None = None) -> DataFrame:
     return shared.select("client_a", "client_b", F.round(1 - F.col("common"), 6).alias("total_variation"))
 
 
+def every_total_variation(assigned: DataFrame) -> DataFrame:
+    """client_a < client_b: total variation of every two clients with fit rows; 1 where they share no subject.
+
+    A null subject is a subject here, as no row of a client may get lost.
+    """
+    shares = fit_shares(assigned).withColumn("subject", F.struct("subject"))
+    a = shares.select(F.col("client_id").alias("client_a"), "subject", F.col("share").alias("share_a"))
+    b = shares.select(F.col("client_id").alias("client_b"), "subject", F.col("share").alias("share_b"))
+    common = a.join(b, "subject").where("client_a < client_b").groupBy("client_a", "client_b").agg(F.sum(F.least("share_a", "share_b")).alias("common"))
+    # The result has a row for every two clients, so their product is no more than it.
+    clients = shares.select("client_id").distinct()
+    pairs = clients.select(F.col("client_id").alias("client_a")).join(clients.select(F.col("client_id").alias("client_b")), F.col("client_a") < F.col("client_b"))
+    distance = F.round(1 - F.coalesce("common", F.lit(0.0)), 6)
+    return pairs.join(common, ["client_a", "client_b"], "left").select("client_a", "client_b", distance.alias("total_variation"))
+
+
 def subject_issues(assigned: DataFrame, *, min_rows: int) -> DataFrame:
     """client_id, rule, detail of every broken rule of the subject audit."""
     clients = assigned.select("client_id").distinct()

@@ -62,6 +62,7 @@ def queries():
         "subject_histogram": lambda s, d: subjects.histogram(_assigned(s, d)),
         "loco_coverage": lambda s, d: subjects.other_client_coverage(_assigned(s, d)),
         "total_variation": lambda s, d: subjects.total_variation(_assigned(s, d), top=40),
+        "total_variation_pairs": lambda s, d: subjects.every_total_variation(_assigned(s, d)),
         "subject_issues": lambda s, d: subjects.subject_issues(_assigned(s, d), min_rows=10),
         "exact_key_issues": lambda s, d: leakage.exact_issues(*_sides(s, d), check_provenance=False),
         "jaccard_pairs": lambda s, d: leakage.lexical_pairs(*_sides(s, d)),

@@ -102,3 +102,14 @@ def test_coverage_and_variation(spark):
     assert subjects.subject_issues(df, min_rows=10).count() == 0
     thin = subjects.subject_issues(df.where("NOT (client_id = 1 AND role = 'support' AND subject = 'Anatomy') AND NOT (client_id = 2 AND role = 'test')"), min_rows=1000)
     assert {r.rule for r in thin.collect()} == {"thin_coverage", "one_support_subject", "role_empty"}
+
+
+def test_variation_of_every_pair(spark):
+    rows = [(f"{c}-{i}", c, "fit", s) for c, subjects_ in {1: "AABB", 2: "AB", 3: "CC", 4: "C", 5: ["A", None]}.items() for i, s in enumerate(subjects_)]
+    rows += [(f"o{c}", c, "fit", "A") for c in range(100, 150)] + [("x", 9, "test", "A")]
+    df = spark.createDataFrame(rows, "example_id string, client_id int, role string, subject string")
+    got = {(r.client_a, r.client_b): r.total_variation for r in subjects.every_total_variation(df).collect()}
+    assert len(got) == 55 * 54 // 2
+    assert [got[p] for p in ((1, 2), (1, 3), (3, 4), (1, 5), (3, 5), (1, 100), (3, 149), (100, 149))] == [0.0, 1.0, 0.0, 0.5, 1.0, 0.5, 1.0, 0.0]
+    one = df.where("client_id in (5, 6)").unionAll(spark.createDataFrame([("n", 6, "fit", None)], df.schema))
+    assert [r.total_variation for r in subjects.every_total_variation(one).collect()] == [0.5]
