@@ -45,6 +45,17 @@ def exact_issues(support: DataFrame, evaluation: DataFrame, *, check_provenance:
     return s.join(e, ["kind", "value"]).select("kind", "support_id", "evaluation_id", "value").distinct()
 
 
+def provenance_issues(support: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """kind, support_id, evaluation_id, value, n_support: every evaluation row whose provenance group has support rows.
+
+    ``support_id`` is the smallest id of the ``n_support`` support rows of the
+    group, so a group with a third of all rows costs a row an evaluation row.
+    """
+    groups = lambda rows: rows.where(F.col("provenance_group") != "").select(F.col("provenance_group").alias("value"), "example_id").distinct()
+    known = groups(support).groupBy("value").agg(F.min("example_id").alias("support_id"), F.count("*").alias("n_support"))
+    return groups(evaluation).withColumnRenamed("example_id", "evaluation_id").join(known, "value").select(F.lit(KINDS[3]).alias("kind"), "support_id", "evaluation_id", "value", "n_support")
+
+
 def _words(rows: DataFrame) -> DataFrame:
     words = F.array_distinct(F.filter(F.split("nq", " "), lambda w: w != ""))
     return rows.select("nq").distinct().select("nq", words.alias("w")).where(F.size("w") > 0)

@@ -67,6 +67,7 @@ def queries():
         "exact_key_issues": lambda s, d: leakage.exact_issues(*_sides(s, d), check_provenance=False),
         "jaccard_pairs": lambda s, d: leakage.lexical_pairs(*_sides(s, d)),
         "leakage_issues": lambda s, d: leakage.issues(*_sides(s, d), check_provenance=False),
+        "provenance_issues": lambda s, d: leakage.provenance_issues(*_sides(s, d)),
         "decontaminate_records": lambda s, d: leakage.decontaminate(_keyed(s, d)),
         "decontaminate_counts": lambda s, d: leakage.decontamination_counts(_keyed(s, d), leakage.decontaminate(_keyed(s, d))),
         "disjoint_check": lambda s, d: _disjoint(s, d),

@@ -113,3 +113,23 @@ def test_variation_of_every_pair(spark):
     assert [got[p] for p in ((1, 2), (1, 3), (3, 4), (1, 5), (3, 5), (1, 100), (3, 149), (100, 149))] == [0.0, 1.0, 0.0, 0.5, 1.0, 0.5, 1.0, 0.0]
     one = df.where("client_id in (5, 6)").unionAll(spark.createDataFrame([("n", 6, "fit", None)], df.schema))
     assert [r.total_variation for r in subjects.every_total_variation(one).collect()] == [0.5]
+
+
+def test_provenance_issues(spark, make_items):
+    def item(i, split, group):
+        return (i, f"question of {i}", [i + o for o in O], split, 0, "S", group)
+
+    rows = [item(f"t{i}", "train", "big") for i in range(30)] + [item(f"e{i}", "test", "big") for i in range(4)]
+    rows += [item("t90", "train", "g"), item("v1", "validation", "g"), item("e90", "test", "alone"), item("t91", "train", None), item("e91", "test", None), item("t92", "train", ""), item("e92", "test", "")]
+    keyed = leakage.keyed(make_items(rows))
+    s, e = keyed.where("split = 'train'"), keyed.where("split <> 'train'")
+    got = {tuple(r) for r in leakage.provenance_issues(s.unionAll(s.where("example_id = 't0'")), e).collect()}
+    assert got == {("provenance_group", "t0", f"e{i}", "big", 30) for i in range(4)} | {("provenance_group", "t90", "v1", "g", 1)}
+    pairs = leakage.exact_issues(s, e).where("kind = 3")
+    assert pairs.count() == sum(n for *_, n in got)
+
+
+def test_registered_leak_reports_name_provenance(spark):
+    from tessera.plans import catalog
+
+    assert "provenance_issues" in catalog.queries()
