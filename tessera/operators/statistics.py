@@ -65,6 +65,30 @@ def item_draws(differences: DataFrame, *by: str, samples: int, seed: int = 0) ->
     return chosen.join(numbered.select(*by, "at", "d"), [*by, "at"]).groupBy(*by, "draw").agg(F.avg("d").alias("x"))
 
 
+def group_draws(differences: DataFrame, *by: str, samples: int, seed: int = 0) -> DataFrame:
+    """by, draw, x: means of resampled differences, item by item, each group in one task.
+
+    Items are in order of d and a draw's random numbers belong to (seed, by,
+    draw), so results do not depend on order or partitions.
+    """
+    names = {f.name: f.dataType.simpleString() for f in differences.schema.fields}
+    schema = ", ".join(f"`{c}` {names[c]}" for c in by) + ", draw int, x double"
+
+    def draw(key, table):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        d = np.sort(table.column("d").to_numpy())
+        group = zlib.crc32(repr([k.as_py() for k in key]).encode())
+        x = [d[np.random.default_rng([seed, group, i]).integers(0, len(d), len(d))].mean() for i in range(samples)]
+        columns = {c: pa.array([k.as_py()] * samples, table.schema.field(c).type) for c, k in zip(by, key)}
+        return pa.table(columns | {"draw": pa.array(np.arange(samples, dtype=np.int32)), "x": pa.array(x, pa.float64())})
+
+    return differences.select(*by, "d").groupBy(*by).applyInArrow(draw, schema)
+
+
 def fast_draws(differences: DataFrame, *by: str, samples: int, seed: int = 0) -> DataFrame:
     """by, draw, x: the same distribution from the counts of -1, 0 and 1 alone."""
     counts = differences.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"))

@@ -102,6 +102,28 @@ def test_fast_and_item_draws_agree(spark):
     assert slow[1] == pytest.approx(fast[1], rel=0.2)
 
 
+def test_group_draws_of_every_group(spark):
+    rows = [(g, k, str(i), [1, 1, 0, -1][i % 4] if g == "x" else -1) for g in "xy" for k in (42, 43) for i in range(400)]
+    d = spark.createDataFrame(rows, "g string, seed int, example_id string, d int")
+    draws = statistics.group_draws(d, "g", "seed", samples=500, seed=3)
+    got = {(r.g, r.seed): r for r in draws.groupBy("g", "seed").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev("x").alias("sd")).collect()}
+    assert set(got) == {(g, k) for g in "xy" for k in (42, 43)} and all(r.n == 500 for r in got.values())
+    assert got[("x", 42)].m == pytest.approx(0.25, abs=0.01) and got[("x", 42)].sd == pytest.approx((11 / 16 / 400) ** 0.5, rel=0.15)
+    assert got[("y", 43)].m == -1.0 and got[("x", 42)].m != got[("x", 43)].m
+    assert sorted(draws.collect()) == sorted(statistics.group_draws(d.orderBy(F.desc("example_id")).repartition(3), "g", "seed", samples=500, seed=3).collect())
+
+
+def test_pairing_issues_of_every_kind(spark):
+    left = frame(spark, [("L", 42, str(i), 0, "S", 0, 0) for i in range(21)])
+    right = frame(spark, [("R", 42, str(i), 0, "S", 0, 0) for i in range(21)])
+    assert statistics.pairing_issues(left, right, ["example_id"], ["gold"]).count() == 0
+    a = left.where("example_id % 7 > 0").unionAll(left.where("example_id = '1'"))
+    b = right.where("example_id <> '5'").withColumn("gold", F.when(F.col("example_id") == "2", 1).otherwise(F.col("gold")))
+    b = b.unionAll(b.where("example_id = '3'"))
+    got = {r.problem: r.n for r in statistics.pairing_issues(a, b, ["example_id"], ["gold"]).collect()}
+    assert got == {"missing_left": 3, "missing_right": 1, "inconsistent": 1, "duplicate_left": 1, "duplicate_right": 1}
+
+
 def test_contrast_report(spark):
     rows = []
     for arm, ok, lik in (("B0", 30, 60), ("B1", 60, 30)):
