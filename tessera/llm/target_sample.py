@@ -36,15 +36,21 @@ def _members(examples: DataFrame) -> DataFrame:
     return examples.select(canonical_split(F.col("split")).alias("split"), "subject", "example_id").where(F.col("example_id").isNotNull()).distinct()
 
 
+def _placed(examples: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per target: quota and deficit, the rows that ``draw`` did not place."""
+    got = draw(examples, targets).groupBy("split", "subject").agg(F.count("*").alias("placed"))
+    return quotas(targets).join(got, ["split", "subject"], "left").select("split", "subject", "quota", F.greatest(F.lit(0), F.col("quota") - F.coalesce("placed", F.lit(0))).alias("deficit"))
+
+
 def target_report(examples: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target: quota, available records, deficit."""
+    """Per target: quota, available records, deficit of the sample drawn."""
     have = _members(examples).groupBy("split", "subject").agg(F.count("*").alias("available"))
-    return quotas(targets).join(have, ["split", "subject"], "left").select("split", "subject", "quota", F.coalesce("available", F.lit(0)).alias("available"), F.greatest(F.lit(0), F.col("quota") - F.coalesce("available", F.lit(0))).alias("deficit"))
+    return _placed(examples, targets).join(have, ["split", "subject"], "left").select("split", "subject", "quota", F.coalesce("available", F.lit(0)).alias("available"), "deficit")
 
 
 def unmet(examples: DataFrame, targets: DataFrame) -> DataFrame:
-    """split, subject of the targets that cannot be met."""
-    return target_report(examples, targets).where("deficit > 0").select("split", "subject")
+    """split, subject of the targets that the sample drawn does not meet."""
+    return _placed(examples, targets).where("deficit > 0").select("split", "subject")
 
 
 def draw(examples: DataFrame, targets: DataFrame, *, seed: int = SEED) -> DataFrame:

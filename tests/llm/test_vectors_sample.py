@@ -114,6 +114,15 @@ def test_targets(spark):
     assert target_sample.target_report(items(spark), targets.where("false")).count() == 0
 
 
+def test_deficits_are_those_of_the_sample(spark, monkeypatch):
+    targets = spark.createDataFrame([("train", "Big", 0.9, 1, 100), ("train", "Small", 0.01, 5, 100)], TARGET)
+    assert target_sample.unmet(items(spark), targets).count() == 0
+    draw = target_sample.draw
+    monkeypatch.setattr(target_sample, "draw", lambda *a, **k: draw(*a, **k).where("example_id <> 's1' AND example_id <> 's2' AND example_id <> 's3'"))
+    assert {tuple(r) for r in target_sample.unmet(items(spark), targets).collect()} == {("train", "Small")}
+    assert {(r.subject, r.available) for r in target_sample.target_report(items(spark), targets).where("deficit > 0").collect()} == {("Small", 7)}
+
+
 def test_draw_is_even(spark):
     targets = spark.createDataFrame([("train", "Big", 1.0, 0, 300)], TARGET)
     taken = [{r.example_id for r in target_sample.draw(items(spark), targets, seed=s).collect()} for s in range(6)]
