@@ -5,8 +5,8 @@ letter, a JSON value that parses, a sentence mark (not that of an abbreviation
 or inside a number), a whole option of its item, or a short statement.  What
 stands in place of a missing rest marks a cut.  Ends that show neither are held
 against all other replies by the prefix self-join: a value that is a strict
-prefix of a longer one was cut; a short value that recurs in that form, or opens
-like a statement, and has no longer copy, is a statement.  Everything else was
+prefix of a longer one was cut; a short value that opens like a statement and
+has no longer copy is a statement, however often it occurs.  Everything else was
 cut.
 
 The self-join sorts the distinct values: all values that begin with v stand
@@ -35,7 +35,7 @@ SENTENCE_END = r"[.!?。！？।؟][)\"'”’\]»*_]*$"
 STATEMENT = r"(?i)^(?:no|none|not|nothing|i|cannot|can't|unable|unsure|unknown|insufficient|all of|neither|n/?a)\b"
 DANGLING = r"(?i)\b(?:the|an?|of|in|to|that|and|or|with|by|for|is|are|be|because|from|at|on|as|not|would|which|no|none|i|cannot)$"
 TRAILING = r"[\s.。]+$"
-MAX_STATEMENT_WORDS, RECURS = 8, 3
+MAX_STATEMENT_WORDS = 8
 
 
 def end_state(text: Column) -> Column:
@@ -85,7 +85,7 @@ def judged(records: DataFrame, examples: DataFrame) -> DataFrame:
     whole = mine.join(options, "example_id").withColumn("o", normalize(F.col("o"))).where(F.col("o") == F.col("n")).select("record_id", "n").distinct().withColumn("whole", F.lit(True))
     value = F.col("value")
     short = F.size(F.split(value, r"\s+")) <= MAX_STATEMENT_WORDS
-    statement = ~F.col("has_longer") & short & ~value.rlike(DANGLING) & ((F.col("copies") >= RECURS) | value.rlike(STATEMENT))
+    statement = ~F.col("has_longer") & short & ~value.rlike(DANGLING) & value.rlike(STATEMENT)
     rest = (
         undecided.withColumn("n", normalize(F.col("text")))
         .join(prefixes, "value", "left")

@@ -41,6 +41,14 @@ def test_statement_needs_no_longer_copy(spark, make_items):
     assert got == {2, 3, 4}
 
 
+def test_a_cut_that_recurs_is_a_cut(spark, make_items):
+    # One option cut at a field limit over several seeds, however many.
+    for n in (2, 3, 30):
+        rows = [(i, "a", "i", "Vitamin C 5 m") for i in range(n)] + [(100 + i, "a", "i", "No option fits") for i in range(n)]
+        got = {r.record_id for r in truncation.truncated(spark.createDataFrame(rows, RECORD), make_items([("i", "q", ["Vitamin C 5 mg", "b", "c", "d"], "test")])).collect()}
+        assert got == set(range(n))
+
+
 def test_token_ids_equal_direct_encoding(spark):
     enc = tokens.encoder()
     r = random.Random(2)
