@@ -70,8 +70,6 @@ def queries():
         "paired_effect": lambda s, d: statistics.effects(_differences(s, d), "subject", "seed"),
         "pairing_issues": lambda s, d: statistics.pairing_issues(_pairs(s, d)[0].where("example_id % 7 > 0 OR subject = 'view'"), _pairs(s, d)[1], ["example_id"], ["gold", "client_id", "subject"]),
         "hash_bootstrap": lambda s, d: statistics.interval(statistics.item_draws(_small_differences(s, d), samples=200, seed=3)),
-        "pairing_check": lambda s, d: statistics.pairing_issues(*_pairs(s, d), ["example_id"], ["gold", "client_id", "subject"]),
-        "item_bootstrap": lambda s, d: statistics.interval(statistics.group_draws(_differences(s, d), "subject", "seed", samples=10_000, seed=3), "subject", "seed"),
         "bootstrap_fast": lambda s, d: statistics.interval(statistics.fast_draws(_differences(s, d), "subject", samples=10_000), "subject"),
         "bootstrap_hierarchical": lambda s, d: statistics.interval(statistics.hierarchical_draws(_differences(s, d), "subject", samples=10_000), "subject"),
         "holm": lambda s, d: statistics.holm(statistics.effects(_differences(s, d), "subject", "seed").select(F.concat_ws("-", "subject", "seed").alias("name"), F.round(F.abs("effect") / 3, 6).alias("p_value"))),

@@ -129,6 +129,10 @@ def oracle_sql():
         "total_variation": f"""WITH {sql.ASSIGNED}, c AS (SELECT client_id, subject, count(*) AS n FROM assigned WHERE role = 'fit' GROUP BY 1, 2), z AS (SELECT client_id, sum(n) AS size FROM c GROUP BY 1 ORDER BY size DESC, client_id LIMIT 40),
             p AS (SELECT c.client_id, c.subject, CAST(c.n AS DOUBLE) / z.size AS share FROM c JOIN z ON c.client_id = z.client_id)
             SELECT a.client_id AS client_a, b.client_id AS client_b, round(1 - sum(least(a.share, b.share)), 6) AS total_variation FROM p a JOIN p b ON a.subject = b.subject AND a.client_id < b.client_id GROUP BY 1, 2""",
+        "total_variation_pairs": f"""WITH {sql.ASSIGNED}, c AS (SELECT client_id, subject, count(*) AS n FROM assigned WHERE role = 'fit' GROUP BY 1, 2), z AS (SELECT client_id, sum(n) AS size FROM c GROUP BY 1),
+            p AS (SELECT c.client_id, c.subject, CAST(c.n AS DOUBLE) / z.size AS share FROM c JOIN z ON c.client_id = z.client_id),
+            m AS (SELECT a.client_id AS ca, b.client_id AS cb, sum(least(a.share, b.share)) AS common FROM p a JOIN p b ON a.subject IS NOT DISTINCT FROM b.subject AND a.client_id < b.client_id GROUP BY 1, 2)
+            SELECT a.client_id AS client_a, b.client_id AS client_b, round(1 - coalesce(common, 0), 6) AS total_variation FROM z a JOIN z b ON a.client_id < b.client_id LEFT JOIN m ON ca = a.client_id AND cb = b.client_id""",
         "subject_issues": f"""WITH {sql.ASSIGNED}, clients AS (SELECT DISTINCT client_id FROM assigned), c AS (SELECT subject, client_id, count(*) AS own FROM assigned WHERE role = 'validation' GROUP BY 1, 2),
             cov AS (SELECT n.client_id, n.subject, CAST(coalesce((SELECT sum(own) FROM c WHERE c.subject = n.subject AND c.client_id <> n.client_id), 0) AS BIGINT) AS o FROM (SELECT DISTINCT client_id, subject FROM assigned WHERE role = 'support') n)
             SELECT c.client_id, 'role_empty' AS rule, r.role AS detail FROM clients c CROSS JOIN (SELECT unnest(['fit', 'support', 'validation', 'test']) AS role) r WHERE NOT EXISTS (SELECT 1 FROM assigned x WHERE x.client_id = c.client_id AND x.role = r.role)
@@ -139,6 +143,8 @@ def oracle_sql():
         "jaccard_pairs": f"WITH {sql.KEYED}, {_PAIRS} SELECT * FROM pairs",
         "leakage_issues": f"""WITH {sql.KEYED}, {_EXACT}, {_PAIRS} SELECT {_KIND} AS kind, support_id, evaluation_id, value FROM exact
             UNION ALL SELECT DISTINCT 'lexical_near_duplicate', s.example_id, e.example_id, printf('%.6f', shared / total) FROM pairs JOIN keyed s ON s.nq = snq AND s.split = 'train' JOIN keyed e ON e.nq = enq AND e.split <> 'train'""",
+        "provenance_issues": f"""WITH {sql.KEYED}, s AS (SELECT provenance_group AS value, min(example_id) AS support_id, count(*) AS n_support FROM keyed WHERE split = 'train' AND provenance_group <> '' GROUP BY 1)
+            SELECT 'provenance_group' AS kind, support_id, example_id AS evaluation_id, value, n_support FROM keyed JOIN s ON provenance_group = value WHERE split <> 'train'""",
         "decontaminate_records": f"WITH {sql.KEYED}, {_MATCHES} SELECT split, example_id, matched_id, {_KIND} AS kind FROM dropped",
         "disjoint_check": "SELECT CAST('' AS VARCHAR) AS kind, CAST(0 AS BIGINT) AS n_issues WHERE false",
         "decontaminate_counts": f"""WITH {sql.KEYED}, {_MATCHES}, o AS (SELECT split, count(*) AS n FROM dropped GROUP BY 1) SELECT k.split, count(*) AS input_rows, coalesce(max(o.n), 0) AS dropped_rows, count(*) - coalesce(max(o.n), 0) AS retained_rows
