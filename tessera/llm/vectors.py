@@ -1,21 +1,27 @@
 """Problem 4: most similar vectors for every vector.
 
-Collision counting over single projections.  A table has K random orthonormal
-projections; a vector enters the array of the one on which it lies farthest out,
-by sign.  There the windows are sparse: vectors of high cosine lie far out on the
-same projection with probability p, others rarely.  L tables give each pair a
-collision count; a pair with at least one collision is verified, in the table of
-its first.  L follows from p, measured for the wanted cosine, and the wanted
-recall.  When arrays grow past ``ARRAY`` vectors, K grows with them.
-
-Sorted windows around each query on single projections, as in plain collision
-counting, hold a constant share of all vectors (a third at cosine 0.9), so the
-counting alone would be quadratic; the README has the figures.
-
-Verification runs where the arrays are: vectors travel as unit vectors in 16-bit
-fixed point (cosine error below 0.00002) and are multiplied in tiles.  Each
-vector keeps its k best per array, so a dense region cannot swell the result.
-Arrays above ``ARRAY`` * 4 are verified in pairs of blocks by several tasks.
+Collision counting on single projections, in two places.
+
+* Which vectors meet.  A table has ``m`` random orthonormal single projections;
+  a vector's ``TOPS`` farthest ones, by sign, are its marks, and every two of them
+  name an array.  Two vectors meet where they collide on two single projections at
+  least.  There are ``TABLES`` tables, so a vector travels nine times, however many
+  there are: m grows with the data instead, from 4 to 64, to keep arrays near
+  ``ARRAY`` vectors.
+* Which are compared.  In an array every vector is a query.  Each of ``COUNTED``
+  projections is sorted, the query's window on it is centred on the query, and the
+  vectors in at least ``NEEDED`` of the windows are verified by their dot product.
+  Windows begin narrow where the array is dense and widen (virtual rehashing) for
+  the queries that are short of k; their width follows from the wanted cosine.  The
+  windows are differences of prefix bit sets of the sorted order and are added up
+  in bit slices, so 64 vectors are counted at a time.
+
+Vectors travel as unit vectors in 16-bit fixed point (cosine error below 0.00002).
+A pair that meets in several arrays is reported by the first.  Arrays of more than
+``LARGE`` vectors are compared in pairs of blocks by several tasks; the list of
+them has an entry an array at most, 24,192 in all.  Of a direction that many ids
+share only the k + 1 smallest ids travel; the others take their neighbours from
+those, so a group of copies that holds a third of all rows costs its rows.
 
 The k best of every vector, whatever their cosine, come from all pairs of blocks
 (``neighbours``): where the fifth best lies near 0.6, windows wide enough to hold
@@ -35,9 +41,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIM, K_BEST, MIN_COSINE, RECALL = 64, 5, 0.9, 0.998
-ARRAY, TILE, PRUNE_AT, BLOCK = 8192, 1024, 2_000_000, 32_768
-_CODES = "tab int, bucket int, x int, y int, block int, vec_id bigint, code binary, buckets binary"
+DIM, K_BEST, MIN_COSINE = 64, 5, 0.9
+TABLES, TOPS, ARRAY, LARGE = 3, 3, 1536, 4096
+COUNTED, NEEDED, SPREAD, STEP = 32, 28, 2.6, 8  # a pair as near as wanted is in fewer than 28 of 32 such windows once in 100,000
+HOT_COPIES, HOT_SHARE = 64, 100_000  # a direction of more ids than both 64 and 1 / 100,000 of all: 100,000 of them at most
+TILE, BLOCK = 1024, 32_768
+_CODES = "array int, x int, y int, block int, vec_id bigint, code binary"
 _PAIRS = "a bigint, b bigint, cosine double"
 
 
@@ -51,79 +60,169 @@ def _unit(column, dim: int):
     return rows[fine], flat[fine] / norm[fine, None]
 
 
-def projections(seed: int, table: int, dim: int, sizes: list[int]) -> list[np.ndarray]:
-    """Orthonormal projections of one table; several factors are independent."""
-    random = np.random.default_rng([seed, table])
-    return [np.linalg.qr(random.normal(size=(dim, dim)))[0][:, :k] for k in sizes]
+def projections(seed: int, table: int, dim: int, m: int) -> np.ndarray:
+    """m orthonormal single projections, as columns."""
+    return np.linalg.qr(np.random.default_rng([seed, table]).normal(size=(dim, dim)))[0][:, :m]
 
 
-def buckets_of(x: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
-    """Array number: the projection with the largest magnitude and its sign, over all factors."""
-    out = np.zeros(len(x), np.int64)
-    for a in factors:
-        p = x @ a
-        best = np.abs(p).argmax(axis=1)
-        out = out * (2 * a.shape[1]) + best * 2 + (p[np.arange(len(x)), best] > 0)
-    return out
+def plan(count: int, dim: int, array: int = ARRAY) -> int:
+    """Projections a table, so that an array holds about ``array`` of ``count`` vectors; ``dim`` at most."""
+    names = TOPS * (TOPS - 1) / 2 * count / array  # 2 m (m - 1) arrays share them
+    return int(min(dim, max(TOPS + 1, np.ceil((1 + np.sqrt(1 + 2 * names)) / 2))))
 
 
-def plan(count: int, dim: int, cosine: float, recall: float, seed: int, array: int = ARRAY) -> tuple[list[int], int]:
-    """Projections per factor and number of tables for ``count`` vectors."""
-    want, sizes = count / array, []
-    while want > 1:
-        sizes.append(int(min(dim, max(2, math.ceil(want / 2)))))
-        want /= 2 * sizes[-1]
-    random = np.random.default_rng(seed)
-    a = random.normal(size=(8192, dim))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    z = random.normal(size=a.shape)
-    z -= (z * a).sum(axis=1, keepdims=True) * a
-    b = cosine * a + math.sqrt(1 - cosine * cosine) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    factors = projections(seed, 1 << 20, dim, sizes)
-    p = min(0.9999, float((buckets_of(a, factors) == buckets_of(b, factors)).mean()))
-    return sizes, max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p > 0 else 1
-
-
-def best_pairs(ids_a, xa, ids_b, xb, same: bool, cosine: float, k: int):
-    """Directed (a, b, cosine) with b among the k best of a, both ways, of all pairs of two blocks."""
-    found: list[tuple] = []
-    size = 0
-
-    def prune():
-        i, j, c = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((j, -c, i))
-        i, j, c = i[order], j[order], c[order]
-        start = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-        keep = rank < k
-        return [(i[keep], j[keep], c[keep])]
-
-    limit = np.float32(cosine)
-    for at in range(0, len(xa), TILE):
-        right = at if same else 0
-        s = xa[at : at + TILE] @ xb[right:].T
-        i, j = np.nonzero(s >= limit)
-        if same:
-            i, j = i[j > i], j[j > i]
-        c = s[i, j].astype(np.float64)
-        a, b = ids_a[i + at], ids_b[j + right]
-        real = a != b
-        a, b, c = a[real], b[real], c[real]
-        found += [(a, b, c), (b, a, c)]
-        size += 2 * len(a)
-        if size > PRUNE_AT:
-            found = prune()
-            size = len(found[0][0])
-    return prune()[0] if size else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+def arrays_of(x: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """Ascending numbers of the arrays of each vector: one for every two of its marks in a table."""
+    out = []
+    for t, a in enumerate(tables):
+        p = x @ a
+        far = np.argpartition(-np.abs(p), TOPS - 1, axis=1)[:, :TOPS]
+        marks = np.sort(far * 2 + (np.take_along_axis(p, far, axis=1) > 0), axis=1)
+        size = 2 * a.shape[1]
+        out += [(t * size + marks[:, i]) * size + marks[:, j] for i in range(TOPS) for j in range(i + 1, TOPS)]
+    return np.sort(np.stack(out, axis=1), axis=1).astype(np.int32)
+
+
+def _add(planes: list[list[np.ndarray]], bits: np.ndarray, weight: int = 0) -> None:
+    """Add one bit a counter; ``planes[w]`` holds bits worth 2 ** w that are still to be summed."""
+    while len(planes) <= weight:
+        planes.append([])
+    planes[weight].append(bits)
+    if len(planes[weight]) == 3:
+        a, b, c = planes[weight]
+        odd = a ^ b
+        planes[weight] = [odd ^ c]
+        _add(planes, (a & b) | (odd & c), weight + 1)
+
+
+def _at_least(planes: list[list[np.ndarray]], least: int) -> np.ndarray:
+    """Bits of the counters that have reached ``least``."""
+    digits, w = [], 0
+    while w < len(planes):
+        if len(planes[w]) == 2:
+            a, b = planes[w]
+            planes[w] = [a ^ b]
+            _add(planes, a & b, w + 1)
+        digits.append(planes[w][0] if planes[w] else None)
+        w += 1
+    # From the top digit: greater so far, or equal so far.
+    greater, equal = None, None
+    for w in reversed(range(max(len(digits), least.bit_length()))):
+        digit = digits[w] if w < len(digits) else None
+        if least >> w & 1:
+            equal = (np.zeros_like(digits[0]) if digit is None else digit) if equal is None else equal & (0 if digit is None else digit)
+        elif digit is not None:
+            more = digit if equal is None else equal & digit
+            greater = more if greater is None else greater | more
+            equal = ~digit if equal is None else equal & ~digit
+    return equal if greater is None else greater | equal
+
+
+class Windows:
+    """Single projections of the vectors of one array, sorted, with bit sets of the prefixes of their order.
+
+    A prefix is kept every ``STEP`` vectors; windows are rounded outwards to them.
+    """
+
+    def __init__(self, unit: np.ndarray, seed: int = 11):
+        n = len(unit)
+        self.words = -(-n // 64)
+        self.values = (unit @ projections(seed, 1 << 20, unit.shape[1], min(COUNTED, unit.shape[1])).astype(np.float32)).T.copy()
+        self.needed = -(-NEEDED * len(self.values) // COUNTED)
+        self.order = np.argsort(self.values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.values, self.order, axis=1)
+        self.prefix = []
+        bit = np.uint64(1) << (np.arange(n, dtype=np.uint64) & np.uint64(63))
+        for order in self.order:
+            sets = np.zeros((-(-n // STEP) + 1, self.words), np.uint64)
+            for o in range(STEP):
+                part = order[o::STEP]
+                sets[np.arange(1, len(part) + 1), part >> 6] |= bit[part]
+            self.prefix.append(np.bitwise_or.accumulate(sets, axis=0, out=sets))
+
+    def edges(self, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """First and last prefix of every vector's window on every projection."""
+        low, high = np.empty(self.order.shape, np.int32), np.empty(self.order.shape, np.int32)
+        for k, (order, values) in enumerate(zip(self.order, self.sorted)):
+            low[k, order] = np.searchsorted(values, values - width, "left") // STEP
+            high[k, order] = -(-np.searchsorted(values, values + width, "right") // STEP)
+        return low, high
+
+    def collide(self, queries: np.ndarray, edges, word: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(position in queries, vector) of all that lie in enough of the queries' windows; vectors from 64 * ``word`` on."""
+        planes: list = []
+        low, high = edges
+        for k, prefix in enumerate(self.prefix):
+            part = prefix[:, word:]
+            _add(planes, part[high[k, queries]] ^ part[low[k, queries]])
+        hit = _at_least(planes, self.needed).ravel()
+        at = np.flatnonzero(hit)
+        row, bit = np.nonzero(np.unpackbits(hit[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        size = self.words - word
+        return at[row] // size, (at[row] % size + word) * 64 + bit
+
+
+def _k_first(i, j, c, ids, k):
+    """The k best of each i: by cosine, then the smaller id."""
+    order = np.lexsort((ids[j], -c, i))
+    i, j, c = i[order], j[order], c[order]
+    start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+    rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+    return i[rank < k], j[rank < k], c[rank < k]
+
+
+def near_pairs(ids: np.ndarray, unit: np.ndarray, block: np.ndarray | None, cosine: float, k: int, tile: int = 256):
+    """Directed (i, j, cosine): the k best of every vector among those of at least ``cosine`` in one array; with blocks only across them."""
+    n = len(ids)
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    if n < 2:
+        return none
+    # Start where a query's window holds few dozen vectors as near as wanted.
+    sample = unit[:: max(1, n // 16)] @ unit.T
+    steps = [cosine] + [1 - (1 - cosine) * f for f in (0.5, 0.25, 0.1, 0.03, 0.01, 0.001) if (1 - cosine) * f > 1e-6]
+    first = next((s for s, c in enumerate(steps) if (sample >= c).sum() <= 96 * len(sample)), len(steps) - 1)
+    windows, left, found = Windows(unit), np.arange(n), [none]
+    for s in range(first, -1, -1):
+        edges = windows.edges(np.float32(SPREAD * np.sqrt(2 - 2 * steps[s]) / np.sqrt(unit.shape[1]) + 1e-5))
+        # Where all vectors ask at the last step, each pair is counted once, by the earlier vector.
+        half, short, kept = len(left) == n and s == 0, [], [none]
+        for at in range(0, len(left), tile):
+            queries = left[at : at + tile]
+            q, j = windows.collide(queries, edges, at >> 6 if half else 0)
+            i = queries[q]
+            other = ids[i] != ids[j]
+            if half:
+                other &= j > i
+            if block is not None:
+                other &= block[i] != block[j]
+            i, j = i[other], j[other]
+            c = np.concatenate([np.einsum("ij,ij->i", unit[i[b : b + 65536]], unit[j[b : b + 65536]]) for b in range(0, len(i), 65536)]) if len(i) else none[2]
+            fine = c >= steps[s]
+            i, j, c = i[fine], j[fine], c[fine]
+            if s:
+                enough = np.bincount(i, minlength=n)[queries] >= k
+                short.append(queries[~enough])
+                done = np.zeros(n, bool)
+                done[queries[enough]] = True
+                i, j, c = i[done[i]], j[done[i]], c[done[i]]
+            kept.append((i, j, c))
+        i, j, c = (np.concatenate(x) for x in zip(*kept))
+        found.append(_k_first(*((np.append(i, j), np.append(j, i), np.append(c, c)) if half else (i, j, c)), ids, k))
+        left = np.concatenate(short) if short else left[:0]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _raw_codes(x: np.ndarray) -> np.ndarray:
+    """Bytes of unit vectors in 16-bit fixed point, after their scale."""
+    scale = np.abs(x).max(axis=1) if len(x) else np.zeros(0)
+    return np.concatenate([scale.astype(np.float32).view(np.uint8).reshape(-1, 4), np.rint(x / scale[:, None] * 32767).astype(np.int16).view(np.uint8).reshape(len(x), -1)], axis=1)
 
 
 def _codes(x: np.ndarray):
-    """Arrow column of unit vectors in 16-bit fixed point, after their scale."""
+    """Arrow column of the same."""
     import pyarrow as pa
 
-    scale = np.abs(x).max(axis=1)
-    code = np.concatenate([scale.astype(np.float32).view(np.uint8).reshape(-1, 4), np.rint(x / scale[:, None] * 32767).astype(np.int16).view(np.uint8).reshape(len(x), -1)], axis=1)
-    return pa.array([c.tobytes() for c in code], pa.binary())
+    return pa.array([c.tobytes() for c in _raw_codes(x)], pa.binary())
 
 
 def _decoded(table, dim: int):
@@ -219,95 +318,137 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return ranked.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour_id"), "cosine", "rank")
 
 
-def near(vectors: DataFrame, *, k: int = K_BEST, cosine: float = MIN_COSINE, recall: float = RECALL, dim: int = DIM, seed: int = 7, array: int = ARRAY) -> DataFrame:
+def near(vectors: DataFrame, *, k: int = K_BEST, cosine: float = MIN_COSINE, dim: int = DIM, seed: int = 7, array: int = ARRAY, large: int = LARGE, hot: int = HOT_COPIES) -> DataFrame:
     """vec_id, neighbour_id, cosine, rank (1..k) among the neighbours of at least ``cosine``; a vector without such has no row."""
-    spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).select(F.col("vec_id").cast("bigint"), F.col("vector").cast("array<float>"))
 
+    def units(batches):
+        for batch in batches:
+            at, x = _unit(batch.column("vector"), dim)
+            if len(at):
+                yield batch.column("vec_id").to_numpy(zero_copy_only=False)[at], x
+
     def sums(batches):
         import pyarrow as pa
 
         n, total = 0, np.zeros(dim)
-        for batch in batches:
-            _, x = _unit(batch.column("vector"), dim)
+        for _, x in units(batches):
             n, total = n + len(x), total + x.sum(axis=0)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "total": pa.array([total.tolist()])})
 
-    # One row a task; their number is bounded by the scan's splits.
     parts = rows.mapInArrow(sums, "n bigint, total array<double>").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(dim)]).first()
     count = parts["n"] or 0
     centre = np.array([parts[f"t{i}"] or 0.0 for i in range(dim)]) / max(1, count)
-    sizes, tables = plan(count, dim, cosine, recall, seed, array)
+    m = plan(count, dim, array)
 
-    def hashed(x):
+    def marked(x):
         y = x - centre
         y /= np.maximum(np.sqrt((y * y).sum(axis=1)), 1e-12)[:, None]
-        return np.stack([buckets_of(y, projections(seed, t, dim, sizes)) for t in range(tables)], axis=1)
-
-    total_buckets = math.prod(2 * s for s in sizes)
+        return arrays_of(y, [projections(seed, t, dim, m) for t in range(TABLES)])
 
     def census(batches):
         import pyarrow as pa
 
-        counts = np.zeros((tables, total_buckets), np.int64)
-        for batch in batches:
-            _, x = _unit(batch.column("vector"), dim)
-            h = hashed(x)
-            for t in range(tables):
-                counts[t] += np.bincount(h[:, t], minlength=total_buckets)
-        t, b = np.nonzero(counts)
-        yield pa.RecordBatch.from_pydict({"tab": pa.array(t, pa.int32()), "bucket": pa.array(b, pa.int32()), "n": pa.array(counts[t, b])})
-
-    # Arrays that need several tasks: at most tables * count / (4 * array) of them.
-    large = {}
-    if sizes and count > 4 * array:
-        for r in rows.mapInArrow(census, "tab int, bucket int, n bigint").groupBy("tab", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * array).collect():
-            large[(r["tab"], r["bucket"])] = math.ceil(r["n"] / (2 * array))
-    elif count > 4 * array:
-        large[(0, 0)] = math.ceil(count / (2 * array))
+        sizes = np.zeros(TABLES * 4 * m * m, np.int64)
+        for ids, x in units(batches):
+            sizes += np.bincount(marked(x).ravel(), minlength=len(sizes))
+            same, n = np.unique(_direction(_raw_codes(x)), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(same), np.int32)), "value": pa.array(same), "n": pa.array(n.astype(np.int64))})
+        used = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(used), np.int32)), "value": pa.array(used.astype(np.int64)), "n": pa.array(sizes[used])})
+
+    counted = rows.mapInArrow(census, "kind int, value bigint, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    # An entry an array and a hot direction at most: both bounded whatever the data.
+    notable = counted.where(((F.col("kind") == 1) & (F.col("n") > large)) | ((F.col("kind") == 0) & (F.col("n") > max(hot, count // HOT_SHARE)))).collect()
+    blocks = np.ones(TABLES * 4 * m * m, np.int64)
+    for r in notable:
+        if r["kind"]:
+            blocks[r["value"]] = -(-2 * r["n"] // large)
+    crowd = np.sort(np.array([r["value"] for r in notable if not r["kind"]], np.int64))
+    head = _smallest(rows, units, crowd, k + 1)
+
+    def travels(ids, x):
+        """Rows that enter arrays: all but those of a hot direction behind its k + 1 smallest ids."""
+        code = _raw_codes(x)
+        if not len(crowd):
+            return code, np.ones(len(ids), bool)
+        way = _direction(code)
+        return code, ~np.isin(way, crowd) | np.fromiter((i in head.get(w, ()) for i, w in zip(ids.tolist(), way.tolist())), bool, len(ids))
 
     def emit(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            at, x = _unit(batch.column("vector"), dim)
-            if not len(at):
-                continue
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[at]
-            h = hashed(x) if sizes else np.zeros((len(at), tables), np.int64)
-            codes = _codes(x)
-            marks = pa.array([r.tobytes() for r in h.astype(np.int32)], pa.binary())
-            for t in range(tables):
-                own, xs, ys, blocks = np.arange(len(at)), np.zeros(len(at), np.int32), np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-                if large:
-                    parts_ = np.array([large.get((t, int(b)), 1) for b in h[:, t]])
-                    mine = (ids * 0x9E3779B1 >> 7) % parts_
-                    own = np.repeat(own, parts_)
-                    other = np.concatenate([np.arange(p) for p in parts_])
-                    xs, ys, blocks = np.minimum(mine[own], other).astype(np.int32), np.maximum(mine[own], other).astype(np.int32), mine[own].astype(np.int32)
-                take = pa.array(own)
-                yield pa.RecordBatch.from_pydict({"tab": pa.array(np.full(len(own), t, np.int32)), "bucket": pa.array(h[own, t].astype(np.int32)), "x": pa.array(xs), "y": pa.array(ys), "block": pa.array(blocks), "vec_id": pa.array(ids[own]), "code": codes.take(take), "buckets": marks.take(take)})
+        for ids, x in units(batches):
+            code, go = travels(ids, x)
+            ids, x, code = ids[go], x[go], code[go]
+            names, codes = marked(x), pa.array([c.tobytes() for c in code], pa.binary())
+            for t in range(names.shape[1]):
+                parts_ = blocks[names[:, t]]
+                own = np.repeat(np.arange(len(ids)), parts_)
+                mine = ((ids * 0x9E3779B1 >> 7) % parts_)[own].astype(np.int32)
+                other = (np.arange(len(own)) - np.repeat(np.cumsum(parts_) - parts_, parts_)).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"array": pa.array(names[own, t]), "x": pa.array(np.minimum(mine, other)), "y": pa.array(np.maximum(mine, other)), "block": pa.array(mine), "vec_id": pa.array(ids[own]), "code": codes.take(pa.array(own))})
 
     def verify(key, table):
         import pyarrow as pa
 
-        t, x_, y_ = key[0].as_py(), key[2].as_py(), key[3].as_py()
-        first, ids, unit, block = _decoded(table, dim)
-        marks = np.frombuffer(b"".join(table.column("buckets").to_pylist()), np.int32).reshape(-1, tables)[first]
-        if x_ == y_:
-            a, b, c = best_pairs(ids, unit, ids, unit, True, cosine - 2e-5, k)
-        else:
-            one, two = block == x_, block == y_
-            a, b, c = best_pairs(ids[one], unit[one], ids[two], unit[two], False, cosine - 2e-5, k)
-        if t and len(a):
-            order = np.argsort(ids, kind="stable")
-            i, j = order[np.searchsorted(ids[order], a)], order[np.searchsorted(ids[order], b)]
-            fresh = ~(marks[i, :t] == marks[j, :t]).any(axis=1)  # else verified at an earlier collision
-            a, b, c = a[fresh], b[fresh], c[fresh]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
+        own, x_, y_ = (key[c].as_py() for c in range(3))
+        _, ids, unit, block = _decoded(table, dim)
+        i, j, c = near_pairs(ids, unit, None if x_ == y_ else block, cosine - 2e-5, k)
+        if len(i):
+            names = marked(unit.astype(np.float64))
+            shared = (names[i][:, :, None] == names[j][:, None, :]).any(axis=2)
+            first = np.where(shared, names[i], np.iinfo(np.int32).max).min(axis=1) == own
+            # Fixed point may put a mark elsewhere; a pair that seems to share nothing is reported where it met.
+            first |= ~shared.any(axis=1)
+            i, j, c = i[first], j[first], c[first]
+        return pa.table({"a": pa.array(ids[i], pa.int64()), "b": pa.array(ids[j], pa.int64()), "cosine": pa.array(c.astype(np.float64), pa.float64())})
+
+    def followers(batches):
+        import pyarrow as pa
+
+        for ids, x in units(batches):
+            code, go = travels(ids, x)
+            lists = [head[w][:k] for w in _direction(code[~go]).tolist()]
+            own = np.repeat(ids[~go], [len(b) for b in lists])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(own, pa.int64()), "b": pa.array([b for each in lists for b in each], pa.int64()), "cosine": pa.array(np.ones(len(own)))})
+
+    pairs = rows.mapInArrow(emit, _CODES).groupBy("array", "x", "y").applyInArrow(verify, _PAIRS).where(F.col("cosine") >= cosine)
+    if len(crowd):
+        pairs = pairs.unionAll(rows.mapInArrow(followers, _PAIRS))
+    return _ranked(pairs, k)
+
 
-    pairs = rows.mapInArrow(emit, _CODES).groupBy("tab", "bucket", "x", "y").applyInArrow(verify, _PAIRS)
-    return _ranked(pairs.where(F.col("cosine") >= cosine), k)
+def _direction(code: np.ndarray) -> np.ndarray:
+    """64-bit hash of the elements of a code (not its scale)."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(c) for c in np.ascontiguousarray(code[:, 4:])), np.uint64, len(code)).view(np.int64)
+
+
+def _smallest(rows: DataFrame, units, crowd: np.ndarray, k: int) -> dict[int, list[int]]:
+    """The k smallest ids of every hot direction; a task sends k a direction."""
+    if not len(crowd):
+        return {}
+
+    def heads(batches):
+        import pyarrow as pa
+
+        kept: dict[int, list[int]] = {}
+        for ids, x in units(batches):
+            way = _direction(_raw_codes(x))
+            hit = np.isin(way, crowd)
+            for w in np.unique(way[hit]).tolist():
+                kept[w] = sorted({*kept.get(w, []), *ids[way == w].tolist()})[:k]
+        flat = [(w, i) for w, ids in kept.items() for i in ids]
+        yield pa.RecordBatch.from_pydict({"way": pa.array([w for w, _ in flat], pa.int64()), "id": pa.array([i for _, i in flat], pa.int64())})
+
+    sent = rows.mapInArrow(heads, "way bigint, id bigint").distinct()
+    ranked = sent.withColumn("r", F.row_number().over(Window.partitionBy("way").orderBy("id"))).where(F.col("r") <= k)
+    out: dict[int, list[int]] = {}
+    for r in sorted(ranked.collect(), key=lambda r: r["id"]):
+        out.setdefault(r["way"], []).append(r["id"])
+    return out
 
 
 def similar_pairs(vectors: DataFrame, **options) -> DataFrame:

@@ -26,9 +26,9 @@ def truth(x, ids, cosine=0.9, k=5):
     return out
 
 
-@pytest.mark.parametrize("array", [8192, 60, 20])
+@pytest.mark.parametrize("array", [1536, 30, 6])
 def test_pairs_against_brute_force(spark, array):
-    x = clusters(1200)
+    x = clusters(600)
     ids = list(range(len(x)))
     df = spark.createDataFrame([(i, v.astype(np.float32).tolist(), None) for i, v in zip(ids, x)], SCHEMA)
     want = truth(x, ids)
@@ -51,12 +51,64 @@ def test_unusable_repeated_and_tied(spark):
 def test_large_array_is_split(spark):
     x = clusters(600, seed=4)
     df = spark.createDataFrame([(i, v.astype(np.float32).tolist(), None) for i, v in enumerate(x)], SCHEMA)
-    # One array of more than four times its size: verified in pairs of blocks.
-    got = {tuple(r) for r in vectors.similar_pairs(df, array=100, recall=0.9999).collect()}
+    # Arrays of more than 40 vectors are compared in pairs of blocks.
+    got = {tuple(r) for r in vectors.similar_pairs(df, large=40).collect()}
     want = truth(x, list(range(len(x))))
     assert len(got & want) / len(want) > 0.99
 
 
+def test_copies_of_a_direction_cost_their_rows(spark):
+    x = np.concatenate([clusters(120, seed=6), np.tile(clusters(4, seed=8)[:1], (200, 1)) * np.random.default_rng(1).uniform(1, 3, (200, 1))])
+    ids = list(range(len(x)))
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist(), None) for i, v in zip(ids, x)], SCHEMA).repartition(3)
+    got = {}
+    for r in vectors.near(df).collect():
+        got.setdefault(r.vec_id, {})[r["rank"]] = r.neighbour_id
+    for i in range(120, 320):
+        assert [got[i][k] for k in range(1, 6)] == [j for j in range(120, 126) if j != i][:5]
+    plain = {(r.vec_id, r.neighbour_id) for r in vectors.near(df, hot=10**9).collect()}
+    assert {(a, b) for a in got for b in got[a].values()} == plain
+
+
+@pytest.mark.parametrize("cosine,k,noise", [(0.9, 5, 0.02), (0.9, 3, 0.006), (0.8, 5, 0.1), (0.97, 5, 0.05)])
+def test_windows_find_what_products_find(cosine, k, noise):
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(30, 64))
+    x = np.repeat(centres, 20, axis=0) + noise * 8 * r.normal(size=(600, 64))
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(600)
+    i, j, c = vectors.near_pairs(ids, unit, None, cosine, k)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    want = {(a, b) for a in range(600) for b in np.argsort(-s[a], kind="stable")[:k] if s[a, b] >= cosine}
+    got = set(zip(i.tolist(), j.tolist()))
+    assert len(got & want) >= 0.999 * len(want) and len(got) == len(i) <= len(want) + 3
+    assert np.allclose(c, s[i, j], atol=1e-6)
+    # Most pairs are never multiplied.
+    windows = vectors.Windows(unit)
+    q, _ = windows.collide(ids, windows.edges(np.float32(vectors.SPREAD * np.sqrt(0.2) / 8)))
+    assert len(q) < 0.2 * 600 * 600 or noise < 0.01
+
+
+def test_counts_in_bit_slices():
+    r = np.random.default_rng(2)
+    for n in (3, 7, 24, 32):
+        bits = r.random((n, 5, 128)) < 0.7
+        for least in (1, n // 2, n - 1, n):
+            planes = []
+            for b in bits:
+                vectors._add(planes, np.packbits(b, axis=1, bitorder="little").view(np.uint64))
+            hit = np.unpackbits(vectors._at_least(planes, least).view(np.uint8), axis=1, bitorder="little")
+            assert (hit.reshape(5, 128) == (bits.sum(axis=0) >= least)).all()
+
+
+def test_tables_do_not_grow():
+    assert [vectors.plan(n, 64) for n in (0, 2000, 10**5, 10**6, 10**8, 10**12)] == sorted(vectors.plan(n, 64) for n in (0, 2000, 10**5, 10**6, 10**8, 10**12))
+    assert vectors.plan(10**12, 64) == 64 and vectors.plan(0, 64) == 4
+    for m in (4, 16, 64):
+        assert vectors.arrays_of(np.random.default_rng(0).normal(size=(50, 64)), [vectors.projections(7, t, 64, m) for t in range(3)]).shape == (50, 9)
+
+
 @pytest.mark.parametrize("block", [32768, 150])
 def test_every_vector_has_its_neighbours(spark, block):
     # Unlike vectors: hardly a pair reaches the cosine of p4_found.
