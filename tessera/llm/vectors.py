@@ -35,6 +35,7 @@ smaller id.  Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -42,8 +43,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM, K_BEST, MIN_COSINE = 64, 5, 0.9
-TABLES, TOPS, ARRAY, LARGE = 3, 3, 1536, 4096
-COUNTED, NEEDED, SPREAD, STEP = 32, 28, 2.6, 8  # a pair as near as wanted is in fewer than 28 of 32 such windows once in 100,000
+TABLES, TOPS, ARRAY, LARGE = 3, 3, 768, 4096
+COUNTED, NEEDED, SPREAD, STEP = 24, 20, 2.5, 8  # a pair as near as wanted is in fewer than 20 of 24 such windows twice in 100,000
 HOT_COPIES, HOT_SHARE = 64, 100_000  # a direction of more ids than both 64 and 1 / 100,000 of all: 100,000 of them at most
 TILE, BLOCK = 1024, 32_768
 _CODES = "array int, x int, y int, block int, vec_id bigint, code binary"
@@ -60,6 +61,7 @@ def _unit(column, dim: int):
     return rows[fine], flat[fine] / norm[fine, None]
 
 
+@functools.lru_cache(maxsize=64)
 def projections(seed: int, table: int, dim: int, m: int) -> np.ndarray:
     """m orthonormal single projections, as columns."""
     return np.linalg.qr(np.random.default_rng([seed, table]).normal(size=(dim, dim)))[0][:, :m]
@@ -129,16 +131,15 @@ class Windows:
         self.words = -(-n // 64)
         self.values = (unit @ projections(seed, 1 << 20, unit.shape[1], min(COUNTED, unit.shape[1])).astype(np.float32)).T.copy()
         self.needed = -(-NEEDED * len(self.values) // COUNTED)
-        self.order = np.argsort(self.values, axis=1, kind="stable")
+        self.order = np.argsort(self.values, axis=1)
         self.sorted = np.take_along_axis(self.values, self.order, axis=1)
-        self.prefix = []
         bit = np.uint64(1) << (np.arange(n, dtype=np.uint64) & np.uint64(63))
-        for order in self.order:
-            sets = np.zeros((-(-n // STEP) + 1, self.words), np.uint64)
-            for o in range(STEP):
-                part = order[o::STEP]
-                sets[np.arange(1, len(part) + 1), part >> 6] |= bit[part]
-            self.prefix.append(np.bitwise_or.accumulate(sets, axis=0, out=sets))
+        self.prefix = np.zeros((len(self.order), -(-n // STEP) + 1, self.words), np.uint64)
+        each = np.arange(len(self.order))[:, None]
+        for o in range(STEP):
+            part = self.order[:, o::STEP]
+            self.prefix[each, np.arange(1, part.shape[1] + 1)[None, :], part >> 6] |= bit[part]
+        np.bitwise_or.accumulate(self.prefix, axis=1, out=self.prefix)
 
     def edges(self, width: float) -> tuple[np.ndarray, np.ndarray]:
         """First and last prefix of every vector's window on every projection."""
@@ -152,8 +153,7 @@ class Windows:
         """(position in queries, vector) of all that lie in enough of the queries' windows; vectors from 64 * ``word`` on."""
         planes: list = []
         low, high = edges
-        for k, prefix in enumerate(self.prefix):
-            part = prefix[:, word:]
+        for k, part in enumerate(self.prefix[:, :, word:]):
             _add(planes, part[high[k, queries]] ^ part[low[k, queries]])
         hit = _at_least(planes, self.needed).ravel()
         at = np.flatnonzero(hit)
@@ -235,9 +235,14 @@ def _decoded(table, dim: int):
     unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
     ids = table.column("vec_id").to_numpy()
     block = table.column("block").to_numpy()
-    _, first = np.unique(np.concatenate([ids[:, None].view(np.uint8).reshape(len(ids), -1), raw], axis=1), axis=0, return_index=True)
-    first = first[np.argsort(ids[first], kind="stable")]
-    return first, ids[first], unit[first], block[first]
+    order = np.argsort(ids, kind="stable")
+    again = np.isin(ids, np.unique(ids[order[1:]][ids[order[1:]] == ids[order[:-1]]]))
+    if again.any():
+        rows = np.flatnonzero(again)
+        _, first = np.unique(np.concatenate([ids[rows, None].view(np.uint8).reshape(len(rows), -1), raw[rows]], axis=1), axis=0, return_index=True)
+        again[rows[first]] = False
+        order = order[~again[order]]
+    return order, ids[order], unit[order], block[order]
 
 
 def k_best(ids_a, xa, ids_b, xb, k: int):
@@ -413,7 +418,9 @@ def near(vectors: DataFrame, *, k: int = K_BEST, cosine: float = MIN_COSINE, dim
             own = np.repeat(ids[~go], [len(b) for b in lists])
             yield pa.RecordBatch.from_pydict({"a": pa.array(own, pa.int64()), "b": pa.array([b for each in lists for b in each], pa.int64()), "cosine": pa.array(np.ones(len(own)))})
 
-    pairs = rows.mapInArrow(emit, _CODES).groupBy("array", "x", "y").applyInArrow(verify, _PAIRS).where(F.col("cosine") >= cosine)
+    # The work lies in the comparisons, not in the bytes, so the number of tasks is set from the rows.
+    tasks = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-9 * count // 50_000))
+    pairs = rows.mapInArrow(emit, _CODES).repartition(tasks, "array", "x", "y").groupBy("array", "x", "y").applyInArrow(verify, _PAIRS).where(F.col("cosine") >= cosine)
     if len(crowd):
         pairs = pairs.unionAll(rows.mapInArrow(followers, _PAIRS))
     return _ranked(pairs, k)
