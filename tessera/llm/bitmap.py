@@ -45,47 +45,24 @@ def pieces(name: str, filled: np.ndarray):
 PIECES = "name string, chunk int, piece binary"
 
 
-def counted(name: str, counts: np.ndarray, least: int):
-    """Counters of at least ``least``, and at chunk -1 the sum of all, as (name, chunk, bytes) lists."""
-    high = np.flatnonzero(counts >= least)
-    values = np.append(counts[high], counts.sum()).astype(np.int64)
-    return [name] * len(values), np.append(high, -1).astype(np.int32), [v.tobytes() for v in values]
+FOLDS = 64  # groups that the tasks' pieces are merged in before the last merge
 
 
-def merge(chunks: DataFrame, names: list[str], bits: int, twice: dict[str, str] | None = None, sums: str | None = None) -> dict:
-    """OR the chunks of all tasks; the driver receives ``bits / 8`` bytes a name at most.
-
-    ``twice`` maps a name to another that also gets the bits set by two tasks or more.
-    ``sums`` names counters (of ``counted``) that are added up to a dict.
-    """
+def merge(pieces_: DataFrame, names: list[str], bits: int) -> dict:
+    """OR the pieces of all tasks, in two levels; the driver receives ``bits / 8`` bytes a name at most."""
 
     def fold(key, table):
         import pyarrow as pa
 
-        if key[0].as_py() == sums:
-            total = sum(int(np.frombuffer(p, np.int64)[0]) for p in table.column("piece").to_pylist())
-            return pa.table({"name": [sums], "chunk": pa.array([key[1].as_py()], pa.int32()), "piece": pa.array([np.int64(total).tobytes()], pa.binary())})
-        total = again = None
+        total = None
         for piece in table.column("piece").to_pylist():
             part = np.frombuffer(piece, np.uint8)
-            if total is None:
-                total, again = part.copy(), np.zeros(len(part), np.uint8)
-                continue
-            again |= total & part
-            total |= part
-        out = [(key[0].as_py(), total)]
-        other = (twice or {}).get(out[0][0])
-        if other and again.any():
-            out.append((other, again))
-        return pa.table({"name": [n for n, _ in out], "chunk": pa.array([key[1].as_py()] * len(out), pa.int32()), "piece": pa.array([p.tobytes() for _, p in out], pa.binary())})
-
-    merged: dict = {n: np.zeros(bits // 8, np.uint8) for n in names}
-    if sums:
-        merged[sums] = {}
-    for row in chunks.groupBy("name", "chunk").applyInArrow(fold, PIECES).collect():
-        if row["name"] == sums:
-            merged[sums][row["chunk"]] = int(np.frombuffer(row["piece"], np.int64)[0])
-            continue
+            total = part.copy() if total is None else np.bitwise_or(total, part, out=total)
+        return pa.table({"name": pa.array([key[0].as_py()]), "chunk": pa.array([key[1].as_py()], pa.int32()), "piece": pa.array([total.tobytes()], pa.binary())})
+
+    merged = {n: np.zeros(bits // 8, np.uint8) for n in names}
+    some = pieces_.withColumn("fold", F.spark_partition_id() % FOLDS).groupBy("name", "chunk", "fold").applyInArrow(lambda key, t: fold(key, t), PIECES)
+    for row in some.groupBy("name", "chunk").applyInArrow(fold, PIECES).collect():
         at = row["chunk"] * min(CHUNK, bits // 8)
         merged[row["name"]][at : at + len(row["piece"])] |= np.frombuffer(row["piece"], np.uint8)
     return merged

@@ -1,5 +1,9 @@
 """Problem 6: near-duplicate records with small edits.
 
+Deletion-variant signatures (``setjoin``): a wide segment of each word set is
+indexed by its words and by its words less any one, the rest by the grams of its
+rarest words; pairs with an equal signature are verified.
+
 Rows without a non-blank question or with null options take no part; null
 entries of options are skipped.  Records delivered again count once.  A record
 delivered with two contents under one id takes part with both.  Extra columns
@@ -22,7 +26,7 @@ def _joined(examples: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     """(members: example_id, cls, chk; verified pairs of classes)."""
     rows = taking_part(examples)
     sets = setjoin.build_sets(rows, word_hashes(joined_text()), "p6-sets", [F.col("example_id"), F.lit(0).alias("role")])
-    pairs = setjoin.class_pairs(sets, num, den, label="p6")
+    pairs = setjoin.class_pairs(sets, num, den, variants=1, step=1.5, label="p6")
     return sets.select("example_id", "cls", "chk").distinct(), pairs
 
 

@@ -12,6 +12,7 @@ def queries():
         "p1_report": lambda s, d: truncation.truncation_report(table(s, d, "evaluation_records"), table(s, d, "examples")),
         "p3_found": lambda s, d: cross_split.overlap_pairs(table(s, d, "examples")),
         "p3_report": lambda s, d: cross_split.overlap_report(table(s, d, "examples")),
+        "p3_links": lambda s, d: cross_split.overlap_links(table(s, d, "examples")),
         "p4_found": lambda s, d: vectors.similar_pairs(table(s, d, "retrieved_examples")),
         "p4_neighbours": lambda s, d: vectors.neighbours(table(s, d, "retrieved_examples")),
         "p4_search": lambda s, d: vectors.search(table(s, d, "retrieved_examples")),
