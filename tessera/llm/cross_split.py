@@ -61,7 +61,7 @@ def overlap_links(examples: DataFrame, likeness: tuple[int, int] = LIKENESS) ->
     """
     sets, pairs = _joined(examples, likeness)
     members = stage(sets.select("example_id", "role", "cls", "chk").distinct(), "p3-members")
-    sizes = members.groupBy("cls", "chk").agg(F.min("example_id").alias("class_id"), F.count_if("role = 1").alias("n1"), F.count_if("role = 2").alias("n2"))
+    sizes = members.groupBy("cls", "chk").agg(F.min("example_id").alias("class_id"), F.count_if(F.col("role") == 1).alias("n1"), F.count_if(F.col("role") == 2).alias("n2"))
     ends = pairs.select("cls_a", "chk_a", F.lit(1)).toDF("cls", "chk", "role").unionAll(pairs.select("cls_b", "chk_b", F.lit(2)).toDF("cls", "chk", "role"))
     links = ends.groupBy("cls", "chk", "role").agg(F.count("*").alias("n"))
     other = F.when(F.col("role") == 1, F.col("n2")).otherwise(F.col("n1"))
