@@ -48,7 +48,7 @@ SETS = "cls bigint, chk bigint, role int, salt bigint, words array<bigint>"
 BLOCKS = "part int, payload binary"
 FOUND = "kind int, a bigint, b bigint"  # 0: a pair; 1 + role: a class and the signature of a large bucket it is in
 _SEEN = 1 << 18
-HOT, ROUNDS, PART_BYTES, ENTRY_BYTES = 4096, 4, 24_000_000, 18
+HOT, ROUNDS, PART_BYTES, ENTRY_BYTES = 16_384, 4, 24_000_000, 18
 WIDEST = (1 << 13) - 1  # sizes from here on are not told apart
 ID_BITS = 40
 RARITY = 1 << 18  # counters of word frequencies; words that share one rank alike
