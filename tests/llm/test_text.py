@@ -9,44 +9,57 @@ RECORD = "record_id bigint, arm string, example_id string, generated_text string
 FINISHED = ["A", "**B**", "(C)", "Answer D", "Final answer: B", "x y.\nFINAL ANSWER : c)", "It follows.", 'He said "stop."', "Vitamin C 5 mg", "No option fits", "none of the above.", '{"answer": "A"}', "Is it so?", "これで終わり。", "1. first\n2. second."]
 CUT = ["It follows that the", "A value of approx.", "compare zinc, i.e.", "Fever above 38.", '{"answer": ', '{"answer": "A", "reason": "So', "The end…", "The end...", "The end. [...]", "The end. [cut]", "Reason.\nFinal answer:", "Vitamin C 5", "Because of (not ", "Reason.\nFinal ans"]
 
+# What other replies of the corpus say about approx., i.e., 38. and a short statement.
+EVIDENCE = ["A value of approx. 4 mg supports this.", "Compare zinc, i.e. look at it.", "Fever above 38.5 is high. It rose.", "No option fits"]
+
 
 def test_ends(spark, make_items):
     items = make_items([("i", "q", ["Vitamin C 5 mg", "b", None, "d"], "test"), ("j", None, None, "test")])
     rows = [(n, "F", "i", t) for n, t in enumerate(FINISHED)] + [(100 + n, "C", "i", t) for n, t in enumerate(CUT)] + [(200, "N", "i", None), (201, "N", "i", " \n"), (202, "N", "zz", "Vitamin"), (203, None, None, "Ends well."), (100, "C", "i", CUT[0])]
+    rows += [(300 + n, "E", "j", t) for n, t in enumerate(EVIDENCE)]
     df = spark.createDataFrame(rows, RECORD).selectExpr("*", "1 as state", "'v' as value", "2 as text")
     got = {r.record_id for r in truncation.truncated(df, items).collect()}
     assert got == {100 + n for n in range(len(CUT))} | {202}
     report = {r.arm: (r.records, r.truncated) for r in truncation.truncation_report(df, items).collect()}
     assert report["F"] == (len(FINISHED), 0) and report["C"] == (len(CUT), len(CUT)) and report["N"] == (1, 1)
     assert truncation.truncated(df.where("false"), items).count() == 0
-    assert truncation.truncated(df, items.where("false")).count() == len(CUT) + 2
+    assert {r.record_id for r in truncation.truncated(df, items.where("false")).collect()} == got | {8}
 
 
-@pytest.mark.parametrize("parts", [1, 3, 8])
-def test_strict_prefixes(spark, parts):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_strict_prefixes(spark, parts, monkeypatch):
     r = random.Random(parts)
     values = ["".join(r.choice("ab ") for _ in range(r.randint(0, 7))) for _ in range(200)] + ["é", "é1", None]
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        got = {x.value: x.has_longer for x in truncation.strict_prefixes(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    monkeypatch.setattr(truncation, "VALUES_A_PART", 200 // parts)
+    got = {x.value: x.has_longer for x in truncation.strict_prefixes(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
     distinct = {v for v in values if v}
     assert got == {v: any(o != v and o.startswith(v) for o in distinct) for v in distinct}
 
 
-def test_statement_needs_no_longer_copy(spark, make_items):
-    rows = [(1, "a", "i", "Not enough data"), (2, "a", "i", "Fever above"), (3, "a", "i", "Fever above all else"), (4, "a", "i", "No option fi"), (5, "a", "i", "No option fits")]
-    got = {r.record_id for r in truncation.truncated(spark.createDataFrame(rows, RECORD), make_items([])).collect()}
-    assert got == {2, 3, 4}
+def cuts(spark, rows, items):
+    df = spark.createDataFrame([(n, "a", i, t) for n, (i, t) in enumerate(rows)], RECORD)
+    return {rows[r.record_id][1] for r in truncation.truncated(df, items).collect()}
+
+
+def test_the_corpus_decides(spark, make_items):
+    rows = [("i", "Not enough data"), ("j", "Not enough data"), ("k", "One item alone says so")]
+    rows += [("i", "Fever above"), ("j", "Fever above"), ("k", "Fever above all else is odd.")]  # a strict prefix, at any number of items
+    rows += [("i", "It hurts. Could this b"), ("j", "It swells. Could this b"), ("k", "Could this be so? Option b is odd.")]  # a strict prefix of its last words
+    rows += [("i", "No option fi"), ("j", "No option fits"), ("k", "No option fits")]
+    rows += [("i", "Ends in the middle of"), ("j", "Is in the middle of"), ("k", "Look in the middle of it. See the middle of it. Or the middle of that.")]  # goes on more often
+    assert cuts(spark, rows, make_items([])) == {"One item alone says so", "Fever above", "It hurts. Could this b", "It swells. Could this b", "No option fi", "Ends in the middle of", "Is in the middle of"}
 
 
 def test_a_cut_that_recurs_is_a_cut(spark, make_items):
     # One option cut at a field limit over several seeds, however many.
+    items = make_items([("i", "q", ["Vitamin C 5 mg", "b", "c", "d"], "test")])
     for n in (2, 3, 30):
-        rows = [(i, "a", "i", "Vitamin C 5 m") for i in range(n)] + [(100 + i, "a", "i", "No option fits") for i in range(n)]
-        got = {r.record_id for r in truncation.truncated(spark.createDataFrame(rows, RECORD), make_items([("i", "q", ["Vitamin C 5 mg", "b", "c", "d"], "test")])).collect()}
-        assert got == set(range(n))
+        rows = [("i", "Vitamin C 5 m")] * n + [("i", "No option fits"), ("j", "No option fits")] * n
+        assert cuts(spark, rows, items) == {"Vitamin C 5 m"}
+
+
+def test_broken_characters_and_very_long_words(spark, make_items):
+    assert cuts(spark, [("i", "Above 38 \ufffd"), ("i", "x" * 200_000), ("j", "y" * 100_000 + "."), ("k", "\n\n.\n")], make_items([])) == {"Above 38 \ufffd", "x" * 200_000}
 
 
 def test_token_ids_equal_direct_encoding(spark):
