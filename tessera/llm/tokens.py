@@ -6,9 +6,10 @@ At a join a window around it is encoded again.  It grows until it begins and
 ends at places where the tokenizer's pattern always splits: behind a run of
 letters or digits, or before a single space between other characters.  The
 window's tokens are then the tokens of the whole text there, so the result is
-that of encoding the text at once.  In a run of letters without such a place the
-tokens themselves are joined, until both border pairs are what the merge rules
-make of them; adjacent pairs that hold make a sequence the only encoding.
+that of encoding the text at once.  A piece of the pattern that runs over the join,
+of whatever kind and length, is not encoded again: the tokens of its halves are
+joined, until both border pairs are what the merge rules make of them; adjacent
+pairs that hold make a sequence the only encoding.
 
 Null and empty texts have an empty list.  Special tokens in a text are ordinary
 text.  Lone surrogates cannot occur in Parquet strings.
@@ -16,6 +17,9 @@ text.  Lone surrogates cannot occur in Parquet strings.
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -29,19 +33,34 @@ LONG = 1 << 14
 _WINDOW = 64
 
 
+PIECE = regex.compile(PATTERN)
+
+
+@functools.lru_cache(maxsize=4)
 def encoder(path: str = VOCABULARY):
     """The encoding of a vocabulary file; loaded once a Python worker."""
+    import base64
+
     import tiktoken
 
-    # The worker keeps the library module between tasks, and the encoding with it.
-    kept = tiktoken.__dict__.setdefault("_kept_encodings", {})
-    if path not in kept:
-        import base64
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    enc.token_sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, i in ranks.items():
+        enc.token_sizes[i] = len(token)
+    return enc
+
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        kept[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return kept[path]
+def _tokens_of(enc, ids: list[int], size: int, *, end: bool) -> int:
+    """How many tokens at the end (or the beginning) of ``ids`` make up ``size`` bytes."""
+    if not size:
+        return 0
+    sizes = np.cumsum(enc.token_sizes[np.array(ids[::-1] if end else ids)])
+    at = int(np.searchsorted(sizes, size))
+    if at == len(sizes) or sizes[at] != size:
+        raise ValueError("no token ends at a certain split")
+    return at + 1
 
 
 def _pair_holds(enc, left: int, right: int) -> bool:
@@ -49,16 +68,14 @@ def _pair_holds(enc, left: int, right: int) -> bool:
     return enc._encode_single_piece(pair) == [left, right]
 
 
-def _join_run(enc, left: list[int], right: list[int]) -> list[int] | None:
-    """Tokens of one unsplit run from those of its halves, or None if a pair never holds."""
+def _join_run(enc, left: list[int], right: list[int]) -> list[int]:
+    """Tokens of one unsplit run from those of its halves."""
     w = _WINDOW
     while True:
         a, b = max(0, len(left) - w), min(len(right), w)
         middle = enc._encode_single_piece(b"".join(map(enc.decode_single_token_bytes, left[a:] + right[:b])))
         if (a == 0 or _pair_holds(enc, left[a - 1], middle[0])) and (b == len(right) or _pair_holds(enc, middle[-1], right[b])):
             return left[:a] + middle + right[b:]
-        if a == 0 and b == len(right):
-            return None
         w *= 2
 
 
@@ -81,13 +98,27 @@ def join_halves(enc, left_text: str, left: list[int], right_text: str, right: li
     stop = len(head) if stop is None else stop
     behind, before = tail[start:], head[:stop]
     # Both cuts are certain splits, so each side's tokens fall apart there.
-    cut_left = len(left) - len(enc.encode_ordinary(behind)) if start or not whole_left else 0
-    cut_right = len(enc.encode_ordinary(before)) if stop < len(head) or not whole_right else len(right)
-    run = behind + before
-    middle = None
-    if len(run) > 4096 and regex.fullmatch(r" ?\p{L}+", run) and regex.fullmatch(r"\p{L}+", before):
-        middle = _join_run(enc, left[cut_left:], right[:cut_right])
-    return left[:cut_left] + (middle if middle is not None else enc.encode_ordinary(run)) + right[cut_right:]
+    cut_left = len(left) - _tokens_of(enc, left, len(behind.encode()), end=True)
+    cut_right = _tokens_of(enc, right, len(before.encode()), end=False)
+    return left[:cut_left] + _join_pieces(enc, behind, left[cut_left:], before, right[:cut_right]) + right[cut_right:]
+
+
+def _join_pieces(enc, behind: str, left: list[int], before: str, right: list[int]) -> list[int]:
+    """Tokens of behind + before, which are split for certain at both ends, from the tokens of both."""
+    at = len(behind)
+    whole = [m.span() for m in PIECE.finditer(behind + before)]
+    over = next((k for k, (a, b) in enumerate(whole) if a < at < b), None)
+    mine, other = [m.span() for m in PIECE.finditer(behind)], [(a + at, b + at) for a, b in (m.span() for m in PIECE.finditer(before))]
+    if over is None:
+        same = whole == mine + other
+        return left + right if same else enc.encode_ordinary(behind + before)
+    a, b = whole[over]
+    if mine != whole[:over] + [(a, at)] or other != [(at, b)] + whole[over + 1 :]:
+        return enc.encode_ordinary(behind + before)
+    cut_left = len(left) - _tokens_of(enc, left, len(behind[a:].encode()), end=True)
+    cut_right = _tokens_of(enc, right, len(before[: b - at].encode()), end=False)
+    joined = _join_run(enc, left[cut_left:], right[:cut_right])
+    return left[:cut_left] + joined + right[cut_right:]
 
 
 def _encode_column(df: DataFrame, key: str, text: str, path: str, extra: list[str]) -> DataFrame:

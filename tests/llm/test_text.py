@@ -92,6 +92,12 @@ def test_join_halves_random():
         text = "".join(r.choice(pieces) for _ in range(r.randint(1, 300)))
         k = r.randint(0, len(text))
         assert tokens.join_halves(enc, text[:k], enc.encode_ordinary(text[:k]), text[k:], enc.encode_ordinary(text[k:])) == enc.encode_ordinary(text)
+    # Runs that the pattern does not split: each kind is joined by its tokens.
+    for unit in ("a", "abc", "é", "漢", "7", "31", " ", "\n", "!", "-=", "\u200d", "🙂", "\t "):
+        for n in (700, 1501):
+            text = r.choice(["", "x ", "9"]) + unit * n + r.choice(["", " y", "3", "\n"])
+            k = r.randint(1, len(text) - 1)
+            assert tokens.join_halves(enc, text[:k], enc.encode_ordinary(text[:k]), text[k:], enc.encode_ordinary(text[k:])) == enc.encode_ordinary(text), (unit, n, k)
 
 
 def test_packing_is_whole(spark):
