@@ -1,7 +1,7 @@
 """Interpolated word n-gram models of graded text and their isotonic map.
 
-One model a level.  A word's probability is a fixed mixture of its bigram, its
-unigram and a uniform floor.  Numbers and words outside the vocabulary are
+One model a level.  A word's probability is a mixture of its bigram, its unigram
+and a uniform floor, with weights fitted on held-out text.  Numbers and words outside the vocabulary are
 classes by length, so names that occur once still say something.  All arrays are
 plain NumPy, so a batch of texts is scored without a loop over words.
 """
@@ -13,7 +13,8 @@ from collections import Counter
 import numpy as np
 
 LEVELS = ("primary", "secondary", "undergraduate", "specialist")  # fixed value: easiest first
-WEIGHTS = (0.55, 0.40, 0.05)  # bigram, unigram, uniform
+WEIGHTS = (0.55, 0.40, 0.05)  # bigram, unigram, uniform: where the fit of the weights begins
+QUANTILES = (0.25, 0.5, 0.75)  # of a document's windows
 MIN_TEXTS = 2  # a word of fewer texts is a class of unknown words
 WINDOW = 25  # words a surprisal is averaged over
 SHARPNESS = 1.0
@@ -58,8 +59,8 @@ def known_share(model: dict, words: list[str]) -> float:
     return sum(w in model["ids"] for w in words) / max(1, len(words))
 
 
-def surprisals(model: dict, words: list[str]) -> np.ndarray:
-    """Surprisal in nats of every word under every level's model."""
+def _parts(model: dict, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bigram and unigram probability of every word under every level's model."""
     x = encode(words, model["ids"])
     uni = model["uni"][x]
     pair = np.empty_like(uni)
@@ -72,16 +73,37 @@ def surprisals(model: dict, words: list[str]) -> np.ndarray:
         # A history the level never saw leaves its bigram weight to the unigram.
         known = model["seen"][x[:-1]]
         pair[1:] = np.where(known, pair[1:], uni[1:])
-    w2, w1, w0 = WEIGHTS
+    return pair, uni
+
+
+def surprisals(model: dict, words: list[str]) -> np.ndarray:
+    """Surprisal in nats of every word under every level's model."""
+    pair, uni = _parts(model, words)
+    w2, w1, w0 = model.get("weights", WEIGHTS)
     return -np.log(w2 * pair + w1 * uni + w0 / model["size"])
 
 
+def held_out_weights(model: dict, texts: list[list[str]], levels: list[int], rounds: int = 15) -> np.ndarray:
+    """Weights of the mixture that make texts the model has not seen most likely under their own level (expectation-maximisation)."""
+    parts = [[p[:, level] for p in _parts(model, t)] for t, level in zip(texts, levels) if t]
+    if not parts:
+        return np.array(WEIGHTS)
+    pair, uni = (np.concatenate(x) for x in zip(*parts))
+    p = np.stack([pair, uni, np.full(len(uni), 1 / model["size"])])
+    w = np.array(WEIGHTS)
+    for _ in range(rounds):
+        share = w[:, None] * p
+        w = (share / share.sum(axis=0)).mean(axis=1)
+    return np.maximum(w, 1e-3) / np.maximum(w, 1e-3).sum()
+
+
 def grade(model: dict, words: list[str]) -> tuple[float, float, float]:
     """(difficulty 0..3, share of windows nearest to the top level, mean surprisal under the best level) of a text.
 
-    The text's surprisals are averaged over windows of ``WINDOW`` words; each
-    window has a mean level, weighted by how well the levels explain it; the
-    difficulty is the mean over the windows of the whole text.
+    The text's surprisals are averaged over windows of ``WINDOW`` words, all of
+    them; each window has a mean level, weighted by how well the levels explain it.
+    The difficulty is taken from the distribution of the windows: the mean of its
+    ``QUANTILES``, so a quotation or a reference list does not move it much.
     """
     if not words:
         return float("nan"), float("nan"), float("nan")
@@ -95,7 +117,10 @@ def grade(model: dict, words: list[str]) -> tuple[float, float, float]:
     p /= p.sum(axis=1, keepdims=True)
     level = p @ np.arange(len(LEVELS))
     weight = lengths / lengths.sum()
-    return float(level @ weight), float((p.argmax(axis=1) == len(LEVELS) - 1) @ weight), float(mean.min(axis=1) @ weight)
+    order = np.argsort(level, kind="stable")
+    middle = np.cumsum(weight[order]) - weight[order] / 2
+    x = float(np.interp(QUANTILES, middle, level[order]).mean())
+    return x, float((p.argmax(axis=1) == len(LEVELS) - 1) @ weight), float(mean.min(axis=1) @ weight)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,13 +1,14 @@
 """Problem 10: reading level of each document.
 
-Interpolated n-gram models, one a level, are fitted on labelled texts.  A
-document's surprisal under each is averaged over windows of all its words, the
-windows give its difficulty, and isotonic regression on labelled texts the
-models had not seen maps it to the graded scale 0 (primary) to 3 (specialist).
+Interpolated n-gram models, one a level, are fitted on labelled texts, and their
+weights on texts they had not seen.  A document's surprisal under each is averaged
+over windows of all its words, the distribution of the windows gives its
+difficulty, and isotonic regression on labelled texts the models had not seen maps
+it to the graded scale 0 (primary) to 3 (specialist).
 Words come from the normalised text, so layout, case and marks play no part.
 
-Fit: at most ``MAX_FIT`` labelled texts of up to ``MAX_FIT_CHARS`` characters,
-those with the smallest hash of their id.  Scores: every text, whole.
+Fit: whole labelled texts in the order of a hash of their id, up to ``MAX_FIT``
+labels and ``MAX_FIT_CHARS`` characters in all.  Scores: every text, whole.
 
 Rows with a null or unknown level are no labels; a text rated twice counts with
 both levels.  Texts that are null, without words, or not in English (en, eng,
@@ -17,13 +18,13 @@ en-GB and the like) have a null level.  Without labels every level is null.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize
 from tessera.llm import ngrams
 
-MAX_FIT, MAX_FIT_CHARS = 6000, 50_000
+MAX_FIT, MAX_FIT_CHARS = 6000, 50_000_000
 ENGLISH = 0.5  # share of known words from which a text without a language is English
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
@@ -36,26 +37,33 @@ def _unnamed():
     return F.coalesce(F.lower(F.trim("lang")), F.lit("")).isin("", "und")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT, max_chars: int = MAX_FIT_CHARS) -> dict | None:
     """Model and isotonic map from a bounded sample; None without labels."""
     known = labels.where(F.col("reading_level").isin(*ngrams.LEVELS)).select(F.col("doc_id").alias("label_id"), F.col("reading_level").alias("level")).distinct()
     sample = known.orderBy(F.xxhash64("label_id"), "label_id", "level").limit(max_fit)
-    texts = docs.where(_english() & F.col("text").isNotNull() & (F.length("text") <= MAX_FIT_CHARS)).select("doc_id", "text")
-    # The sample has max_fit rows at most, whatever the size of the corpus.
-    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "level", normalize(F.col("text")).alias("n")).collect()
+    texts = docs.where(_english() & F.col("text").isNotNull()).select("doc_id", "text")
+    # The sample has max_fit rows at most, whatever the size of the corpus, and its texts together max_chars characters.
+    chosen = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "level").rowsBetween(Window.unboundedPreceding, 0)
+    within = chosen.select("doc_id", "level", F.length("text").alias("k")).withColumn("so_far", F.sum("k").over(order)).where(F.col("so_far") <= max_chars).select("doc_id", "level").distinct()
+    rows = chosen.join(F.broadcast(within), ["doc_id", "level"]).select("doc_id", "level", normalize(F.col("text")).alias("n")).collect()
     rows = sorted(((r["doc_id"], r["level"], r["n"].split()) for r in rows if r["n"]), key=lambda r: r[:2])
     if not rows:
         return None
     words, level = [r[2] for r in rows], [ngrams.LEVELS.index(r[1]) for r in rows]
     # Each half is scored by the model of the other half; all levels of a text stay together.
     half = np.array([(r[0] * 0x9E3779B97F4A7C15 >> 40) & 1 for r in rows])
-    x = np.zeros(len(rows))
+    x, weights = np.zeros(len(rows)), []
     for side in (0, 1):
         other = [i for i in range(len(rows)) if half[i] != side] or list(range(len(rows)))
+        mine = np.flatnonzero(half == side)
         model = ngrams.fit([words[i] for i in other], [level[i] for i in other])
-        for i in np.flatnonzero(half == side):
+        model["weights"] = ngrams.held_out_weights(model, [words[i] for i in mine], [level[i] for i in mine])
+        weights.append(model["weights"])
+        for i in mine:
             x[i] = ngrams.grade(model, words[i])[0]
     model = ngrams.fit(words, level)
+    model["weights"] = np.mean(weights, axis=0)
     model["knots"], model["values"] = ngrams.isotonic(x, np.array(level))
     return model
 
