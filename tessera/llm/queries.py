@@ -27,6 +27,7 @@ def queries():
         "p9_found": lambda s, d: packing.oversized(table(s, d, "documents")),
         "p9_containers": lambda s, d: packing.pack(table(s, d, "documents")),
         "p9_report": lambda s, d: packing.fill_report(table(s, d, "documents")),
+        "p9_mixture": lambda s, d: packing.mixture_report(table(s, d, "documents")),
         "p10_found": lambda s, d: reading_level.demanding(table(s, d, "documents"), table(s, d, "reading_labels")),
         "p10_levels": lambda s, d: reading_level.graded(table(s, d, "documents"), table(s, d, "reading_labels"), unnamed=True),
         "p10_profile": lambda s, d: reading_level.profile(table(s, d, "documents"), table(s, d, "reading_labels")),
@@ -48,5 +49,9 @@ def oracle_sql():
             r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s WHERE c >= 0.9)
             SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE k <= 5""",
         "p5_found": f"{_TARGETS} SELECT split, subject FROM report WHERE available < quota",
+        "p5_sample": f"""WITH q AS (SELECT split, subject, max(CAST(greatest(coalesce(min_rows, 0), ceil(round(coalesce(target_share, 0) * coalesce(sample_size, 0), 6))) AS BIGINT)) AS quota FROM sample_targets GROUP BY 1, 2),
+            e AS (SELECT DISTINCT {_SPLIT} AS split, subject, example_id FROM examples WHERE example_id IS NOT NULL),
+            r AS (SELECT e.*, quota, row_number() OVER (PARTITION BY e.split, e.subject ORDER BY CAST('0x' || substr(md5('20260901:sample:' || e.split || ':' || example_id), 1, 8) AS BIGINT), example_id) AS n FROM e JOIN q ON e.split = q.split AND e.subject = q.subject)
+            SELECT split, subject, example_id FROM r WHERE n <= quota""",
         "p5_report": f"{_TARGETS} SELECT split, subject, quota, available, greatest(0, quota - available) AS deficit FROM report",
     }

@@ -21,15 +21,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import canonical_split
+from tessera.operators.partition import hashed
 from tessera.plans.staging import stage
 
 SEED, BINS = 20260901, 4096
 
 
 def quotas(targets: DataFrame) -> DataFrame:
-    """split, subject, quota, target_share, sample_size.  Products are rounded to 6 decimals first, so 10.000000001 is 10."""
+    """split, subject, quota; of a target given twice the larger.  Products are rounded to 6 decimals first, so 10.000000001 is 10."""
     want = F.ceil(F.round(F.coalesce("target_share", F.lit(0.0)) * F.coalesce("sample_size", F.lit(0)), 6))
-    return targets.select("split", "subject", F.greatest(F.coalesce("min_rows", F.lit(0)), want).cast("bigint").alias("quota"), "target_share", "sample_size")
+    return targets.groupBy("split", "subject").agg(F.max(F.greatest(F.coalesce("min_rows", F.lit(0)), want).cast("bigint")).alias("quota"))
 
 
 def _members(examples: DataFrame) -> DataFrame:
@@ -55,8 +56,8 @@ def unmet(examples: DataFrame, targets: DataFrame) -> DataFrame:
 
 def draw(examples: DataFrame, targets: DataFrame, *, seed: int = SEED) -> DataFrame:
     """split, subject, example_id of the sample: exactly the quota of each target, or all there are."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "split", "example_id"), F.lit(1 << 32))
-    rows = stage(_members(examples).join(quotas(targets).select("split", "subject", "quota").dropDuplicates(["split", "subject"]), ["split", "subject"]).select("split", "subject", "example_id", "quota", u.alias("u")), "p5-members")
+    u = hashed(seed, "sample", F.col("split"), F.col("example_id"))
+    rows = stage(_members(examples).join(quotas(targets), ["split", "subject"]).select("split", "subject", "example_id", "quota", u.alias("u")), "p5-members")
     observed = rows.groupBy("split", "subject").agg(F.count("*").alias("n"), F.max("quota").alias("quota"))
     raised = F.col("quota") + 4 * F.sqrt(F.col("quota").cast("double")) + 4
     limits = observed.select("split", "subject", "n", F.least(F.lit(1.0), raised / F.col("n")).alias("p"))

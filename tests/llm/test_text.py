@@ -124,6 +124,19 @@ def test_packing_is_whole(spark):
     assert packing.fill_report(df.where("false")).first().containers == 0
 
 
+def test_packing_follows_given_targets(spark):
+    r = random.Random(8)
+    docs = [(i, " ".join(r.choice(["one", "two", "three"]) for _ in range(r.choice([20, 40, 60]))), "ab"[i % 2] if i % 10 else None) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.6), ("b", 0.2), ("b", 0.3), (None, 0.1), ("c", 0.0)], "source string, target_share double")
+    rows = packing.pack(df, targets=targets, capacity=600, block=64).where("sequence LIKE '0-%' AND slot < 20").collect()
+    t = {s: sum(x.tokens for x in rows if x.source == s) for s in ("a", "b", None)}
+    assert abs(t["a"] / sum(t.values()) - 0.6) < 0.03 and abs(t["b"] / sum(t.values()) - 0.3) < 0.03
+    report = {x.source: x for x in packing.mixture_report(df, capacity=600, run=8).collect()}
+    assert set(report) == {"a", "b", None} and all(x.mean_drift < 0.05 and x.runs > 5 for x in report.values())
+    assert packing.mixture_report(df.where("false")).count() == 0
+
+
 def test_deficits_follow_shares():
     items = [(100, "a")] * 300 + [(100, "b")] * 100
     containers = packing.fill_block(items, {"a": 0.75, "b": 0.25}, {}, 800)
