@@ -33,9 +33,8 @@ BASIC, CONTROLLED = 8, 13
 
 
 def arms(spark: SparkSession, *, controlled: bool = False, train_icl: bool = False) -> DataFrame:
-    """8 arms; 13 with controls; all 20 with training on exemplars as well."""
-    rows = ARMS[: CONTROLLED if controlled else BASIC]
-    return spark.createDataFrame(list(rows) + (list(ARMS[CONTROLLED:]) if train_icl else []), SCHEMA)
+    """8 arms; 13 with controls; all 20 with training on exemplars."""
+    return spark.createDataFrame(list(ARMS if train_icl else ARMS[:CONTROLLED] if controlled else ARMS[:BASIC]), SCHEMA)
 
 
 def runs(table: DataFrame, seeds: list[int]) -> DataFrame:
@@ -44,15 +43,18 @@ def runs(table: DataFrame, seeds: list[int]) -> DataFrame:
     return table.select("arm", each.alias("seed"))
 
 
-def choose(pool: DataFrame, arm: str, *, k: int = 5, alpha: float = 1.0, beta: float = 0.15, gamma: float = 0.2, weights: DataFrame | None = None) -> DataFrame:
-    """Exemplars an arm shows: none, the first of the pool, or a greedy choice with the terms the arm uses."""
+def chosen(pool: DataFrame, table: DataFrame, *, k: int = 5, alpha: float = 1.0, beta: float = 0.15, gamma: float = 0.2, weights: DataFrame | None = None) -> DataFrame:
+    """arm, query_id, position, vec_id, example_id: the exemplars of all arms of a table, in one plan.
+
+    The table's flags become terms of the score: an arm without any takes the pool
+    in its order, and one that shows none has no rows.  Arms with a client prior
+    need ``weights``.
+    """
     from tessera.operators import retrieval
 
-    _, _, uses, aware, diverse, _ = next(a for a in ARMS if a[0] == arm)
-    if not uses:
-        return retrieval.first_of_pool(pool, k=k).where(F.lit(False))
-    if not (aware or diverse):
-        return retrieval.first_of_pool(pool, k=k)
-    if aware and weights is None:
-        raise ValueError(f"arm {arm} needs weights")
-    return retrieval.rerank(pool, k=k, alpha=alpha, beta=beta if diverse else 0.0, gamma=gamma if aware else 0.0, weights=weights if aware else None)
+    if weights is None and table.where("uses_exemplars AND client_aware").limit(1).count():
+        raise ValueError("client-aware arms need weights")
+    rows = retrieval.weighted(pool, weights).crossJoin(F.broadcast(table.where("uses_exemplars")))  # 20 arms at most
+    plain = ~F.col("client_aware") & ~F.col("diversity")
+    scored = F.col("relevance") * alpha + F.col("weight") * F.when(F.col("client_aware"), gamma).otherwise(0.0)
+    return retrieval.greedy(rows.withColumn("base", F.when(plain, -F.col("pool_rank").cast("double")).otherwise(scored)).withColumn("beta", F.when(F.col("diversity"), beta).otherwise(0.0)), ["arm", "query_id"], k)

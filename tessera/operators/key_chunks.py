@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.staging import stage
 
-CHUNK_ROWS = 65_536
+CHUNK_ROWS, CHUNKS_A_PART = 65_536, 4
 
 
 def numbered(df: DataFrame, key: Column, at: Column, tie: Column, *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -28,7 +28,8 @@ def numbered(df: DataFrame, key: Column, at: Column, tie: Column, *, chunk_rows:
     partitions, also when a task is run again.
     """
     rows = df.select(key.alias("key"), at.alias("at"), tie.alias("tie")).where(F.col("key").isNotNull()).withColumn("pos", F.monotonically_increasing_id())
-    shares = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # As many parts as the rows need, not a fixed number: a task sorts a few chunks.
+    shares = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // (CHUNKS_A_PART * chunk_rows)))
     ranged = stage(rows.repartitionByRange(shares, "key", "at", "tie", "pos").withColumn("part", F.spark_partition_id()), "ranged")
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("part", "key").agg(F.count("*").alias("n")).select("part", "key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

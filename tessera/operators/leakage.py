@@ -38,13 +38,19 @@ def _keys(rows: DataFrame, check_provenance: bool) -> DataFrame:
     return exploded.where(F.col("value").isNotNull() & ~((F.col("kind") == 3) & (F.col("value") == "")))
 
 
-def exact_issues(support: DataFrame, evaluation: DataFrame, *, check_provenance: bool = True) -> DataFrame:
-    """kind (number), support_id, evaluation_id, value of equal keys."""
-    s = _keys(support, check_provenance).withColumnRenamed("example_id", "support_id")
-    e = _keys(evaluation, check_provenance).withColumnRenamed("example_id", "evaluation_id")
+def exact_issues(support: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """kind (number), support_id, evaluation_id, value of equal ids, questions and hashes."""
+    s = _keys(support, False).withColumnRenamed("example_id", "support_id")
+    e = _keys(evaluation, False).withColumnRenamed("example_id", "evaluation_id")
     return s.join(e, ["kind", "value"]).select("kind", "support_id", "evaluation_id", "value").distinct()
 
 
+def all_exact_issues(support: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """As ``exact_issues``, and the provenance leaks with one witness an evaluation row."""
+    groups = provenance_issues(support, evaluation).select(F.lit(3).alias("kind"), "support_id", "evaluation_id", "value")
+    return exact_issues(support, evaluation).unionAll(groups)
+
+
 def provenance_issues(support: DataFrame, evaluation: DataFrame) -> DataFrame:
     """kind, support_id, evaluation_id, value, n_support: every evaluation row whose provenance group has support rows.
 
@@ -94,9 +100,11 @@ def lexical_pairs(support: DataFrame, evaluation: DataFrame, threshold: tuple[in
 def issues(support: DataFrame, evaluation: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, check_provenance: bool = True) -> DataFrame:
     """kind, support_id, evaluation_id, value of all leaks between two keyed sets.
 
-    Support rows outside train are issues of their own, without evaluation id.
+    A provenance group is reported once an evaluation row, with its smallest support
+    id (``provenance_issues`` has the number of the others).  Support rows outside
+    train are issues of their own, without evaluation id.
     """
-    exact = exact_issues(support, evaluation, check_provenance=check_provenance)
+    exact = all_exact_issues(support, evaluation) if check_provenance else exact_issues(support, evaluation)
     near = lexical_pairs(support, evaluation, threshold)
     s = support.select(F.col("example_id").alias("support_id"), F.col("nq").alias("snq"))
     e = evaluation.select(F.col("example_id").alias("evaluation_id"), F.col("nq").alias("enq"))
@@ -146,6 +154,39 @@ def decontaminate(rows: DataFrame, *, threshold: tuple[int, int] = THRESHOLD) ->
     return out_v.select(F.lit("validation").alias("split"), "example_id", "matched_id", "kind").unionAll(out_t.select(F.lit("train").alias("split"), "example_id", "matched_id", "kind"))
 
 
+def require_splits(rows: DataFrame, *splits: str) -> DataFrame:
+    """The same rows; a split (by default each of the three) without rows is an error."""
+    there = {r[0] for r in rows.select("split").distinct().collect()}
+    if lacking := [s for s in splits or ("train", "validation", "test") if s not in there]:
+        raise ValueError(f"no rows are left in {lacking}")
+    return rows
+
+
+def drop_reasons(dropped: DataFrame) -> DataFrame:
+    """Dropped rows by split and kind of the first match."""
+    return dropped.groupBy("split", "kind").agg(F.count("*").alias("n_rows"))
+
+
+def split_overlaps(rows: DataFrame) -> DataFrame:
+    """left_split, right_split, kind, n_rows: rows of the right split that share a key with the left one, for all three pairs of splits.
+
+    The kind is the first in the order of precedence.  Keys are reduced to one row a
+    split first, so a group with a third of all rows is not expanded.
+    """
+    keys = rows.select("example_id", "split").join(_keys(rows, True), "example_id")
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("l"), F.lit(b).alias("r")) for a, b in (("train", "validation"), ("train", "test"), ("validation", "test"))]))
+    known = keys.select(F.col("split").alias("l"), "kind", "value").distinct()
+    asked = keys.select("example_id", "split", "kind", "value", pairs.alias("p")).where(F.col("split") == F.col("p.r")).select("example_id", F.col("p.l").alias("l"), F.col("split").alias("r"), "kind", "value")
+    first = asked.join(known, ["l", "kind", "value"], "left_semi").groupBy("l", "r", "example_id").agg(F.min("kind").alias("kind"))
+    return first.groupBy(F.col("l").alias("left_split"), F.col("r").alias("right_split"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1).alias("kind")).agg(F.count("*").alias("n_rows"))
+
+
+def assert_disjoint(rows: DataFrame) -> None:
+    """Raise if any two of the three splits share a key."""
+    if found := split_overlaps(rows).limit(9).collect():
+        raise ValueError("splits overlap: " + ", ".join(f"{r['left_split']}/{r['right_split']} {r['kind']}" for r in found))
+
+
 def decontamination_counts(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """Per split: input, retained and dropped rows."""
     out = dropped.groupBy("split").agg(F.count("*").alias("dropped_rows"))

@@ -68,7 +68,8 @@ def calibration_bins(records: DataFrame, *by: str, bins: int = BINS) -> DataFram
     """Per bin of likelihood confidence: records, accuracy of the likelihood prediction, mean confidence.
 
     Bin i holds [i / b, (i + 1) / b), the last also 1.  Edges are compared, not
-    computed from the value.  Values outside [0, 1] have bin -1.
+    computed from the value, and confidences are added up as decimals, so no order
+    of rows changes the result.  Values outside [0, 1] have bin -1.
     """
     c = F.col("likelihood_confidence")
     edge = F.lit(-1)
@@ -76,7 +77,7 @@ def calibration_bins(records: DataFrame, *by: str, bins: int = BINS) -> DataFram
         upper = (c <= 1.0) if i == bins - 1 else (c < (i + 1) / bins)
         edge = F.when((c >= i / bins) & upper, i).otherwise(edge)
     rows = records.where(c.isNotNull() & F.col("likelihood_predicted").isNotNull()).withColumn("bin", edge)
-    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n_records"), F.avg(correct("likelihood_predicted").cast("double")).alias("accuracy"), F.avg("likelihood_confidence").alias("confidence"))
+    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n_records"), (F.count_if(correct("likelihood_predicted")) / F.count("*")).alias("accuracy"), (F.sum(F.col("likelihood_confidence").cast("decimal(20,12)")).cast("double") / F.count("*")).alias("confidence"))
 
 
 def expected_calibration_error(records: DataFrame, *by: str, bins: int = BINS) -> DataFrame:
@@ -124,11 +125,18 @@ def exemplar_usage(records: DataFrame) -> DataFrame:
     return records.select("arm", F.explode("exemplar_ids").alias("exemplar_id")).groupBy("arm", "exemplar_id").agg(F.count("*").alias("n_shown"))
 
 
+METRICS = ("pipeline_accuracy", "macro_f1", "exact_match_coverage", "semantic_fallback_rate", "likelihood_accuracy", "ece")
+
+
 def arm_comparison(records: DataFrame) -> DataFrame:
-    """Per arm over its seeds: runs, mean and sample deviation (0 for one run) of accuracy and coverage."""
-    per = records.groupBy("arm", "seed").agg(F.avg(correct().cast("double")).alias("pipeline_accuracy"), F.avg(F.coalesce(F.col("stage").isin("terminal_label", "exact_option"), F.lit(False)).cast("double")).alias("exact_match_coverage"), F.avg(correct("likelihood_predicted").cast("double")).alias("likelihood_accuracy"))
-    metrics = ["pipeline_accuracy", "exact_match_coverage", "likelihood_accuracy"]
-    long = per.select("arm", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics])).alias("m")).select("arm", "m.metric", "m.x")
+    """Per arm over its seeds: runs, mean and sample deviation (0 for one run) of the six metrics of a comparison."""
+    by = ["arm", F.coalesce("seed", F.lit(-1)).alias("s")]
+    keyed = records.select("*", by[1])
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    per = keyed.groupBy("arm", "s").agg(share(F.col("predicted") == F.col("gold")).alias("pipeline_accuracy"), share(F.col("stage").isin("terminal_label", "exact_option")).alias("exact_match_coverage"), share(F.col("stage") == "semantic_option").alias("semantic_fallback_rate"), share(F.col("likelihood_predicted") == F.col("gold")).alias("likelihood_accuracy"))
+    # Both have a row an arm and seed.
+    per = per.join(macro_f1(keyed, "arm", "s"), ["arm", "s"]).join(expected_calibration_error(keyed, "arm", "s").select("arm", "s", "ece"), ["arm", "s"], "left")
+    long = per.select("arm", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])).alias("m")).select("arm", "m.metric", "m.x")
     return long.groupBy("arm", "metric").agg(F.count("x").alias("runs"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), 6).alias("std"))
 
 
@@ -136,12 +144,12 @@ def comparison_table(comparison: DataFrame) -> DataFrame:
     """One Markdown line an arm, best pipeline accuracy first; a missing metric is a dash."""
     from pyspark.sql import Window
 
-    cell = F.when(F.col("runs") > 1, F.format_string("%.4f ± %.4f", "mean", "std")).otherwise(F.format_string("%.4f", "mean"))
-    pick = lambda m: F.coalesce(F.max(F.when(F.col("metric") == m, F.col("cell"))), F.lit("-"))
-    wide = comparison.withColumn("cell", cell).groupBy("arm").agg(F.max(F.when(F.col("metric") == "pipeline_accuracy", F.col("mean"))).alias("score"), pick("pipeline_accuracy").alias("a"), pick("exact_match_coverage").alias("b"), pick("likelihood_accuracy").alias("c"))
-    line = F.concat_ws(" | ", F.lit("|"), "arm", "a", "b", "c", F.lit("|"))
+    cell = F.when(F.col("runs") > 1, F.format_string("%.4f ± %.4f", "mean", "std")).when(F.col("runs") == 1, F.format_string("%.4f", "mean"))
+    pick = lambda m: F.coalesce(F.max(F.when(F.col("metric") == m, F.col("cell"))), F.lit("-")).alias(m)
+    wide = comparison.withColumn("cell", cell).groupBy("arm").agg(F.max(F.when(F.col("metric") == METRICS[0], F.col("mean"))).alias("score"), *[pick(m) for m in METRICS])
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "arm", *METRICS), F.lit(" |"))
     # One row an arm: the arms of a study are a handful, whatever the records.
-    return wide.select(F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "arm")).alias("position"), F.regexp_replace(F.regexp_replace(line, r"^\| \| ", "| "), r" \| \|$", " |").alias("line"))
+    return wide.select(F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "arm")).alias("position"), line.alias("line"))
 
 
 def cohort_mismatches(left: DataFrame, right: DataFrame, key: str, same: list[str]) -> DataFrame:

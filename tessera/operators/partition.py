@@ -67,6 +67,19 @@ def dirichlet_weights(subjects: list[str], *, clients: int = CLIENTS, alpha: flo
     return rows
 
 
+def subject_weights(items: DataFrame, *, clients: int = CLIENTS, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """subject, client, weight, cumulative of every subject of the items; drawn where the subjects are, so none is collected."""
+
+    def draw(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = dirichlet_weights(batch.column(0).to_pylist(), clients=clients, alpha=alpha, seed=seed)
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("subject", pa.string()), ("client", pa.int32()), ("weight", pa.float64()), ("cumulative", pa.float64())))})
+
+    return items.where(F.col("subject").isNotNull()).select("subject").distinct().mapInArrow(draw, "subject string, client int, weight double, cumulative double")
+
+
 def assign_clients(items: DataFrame, weights: DataFrame, *, seed: int = SEED) -> DataFrame:
     """example_id, split, client_id: the first client whose cumulative weight reaches the item's hash number."""
     steps = weights.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("client", "cumulative"))).alias("w"))  # clients entries a subject
@@ -75,37 +88,41 @@ def assign_clients(items: DataFrame, weights: DataFrame, *, seed: int = SEED) ->
     return items.select("example_id", "split", "subject", u.alias("u")).join(steps, "subject").select("example_id", "split", "subject", first.alias("client_id"))
 
 
-def rebalance_moves(sizes: dict[int, int], minimum: int) -> list[tuple[int, int]]:
-    """(donor, recipient) of each move until every client has the minimum; the largest client gives, the lowest number among equals."""
-    sizes = dict(sizes)
-    if sum(sizes.values()) < minimum * len(sizes):
-        raise ValueError(f"not enough rows to give every client {minimum}")
-    moves = []
-    for recipient in sorted(sizes):
-        while sizes[recipient] < minimum:
-            donor = max(sorted(sizes), key=lambda c: sizes[c])
-            if sizes[donor] <= minimum:
-                raise ValueError("cannot rebalance")
-            moves.append((donor, recipient))
-            sizes[donor] -= 1
-            sizes[recipient] += 1
-    return moves
+def transfers(sizes: dict[int, int], minimum: int) -> list[tuple[int, int]]:
+    """(donor, recipient) of every row that has to change its client until each client has ``minimum`` rows.
+
+    What clients can spare is a list of steps, one a row, each at the size its
+    client has before it; the highest steps go first, at equal heights those of the
+    lower client.  Shortfalls are filled in the order of the clients.
+    """
+    short = {c: minimum - n for c, n in sorted(sizes.items()) if n < minimum}
+    needed = sum(short.values())
+    spare = sorted((-height, c) for c, n in sizes.items() for height in range(n, max(minimum, n - needed), -1))[:needed]
+    if len(spare) < needed:
+        raise ValueError(f"{needed} rows are short of {minimum} a client and only {len(spare)} can be spared")
+    return list(zip((c for _, c in spare), (c for c, n in short.items() for _ in range(n))))
 
 
 def rebalance(assigned: DataFrame, *, clients: int = CLIENTS, train_minimum: int = MIN_SUPPORT + 1, minimum: int = 1) -> DataFrame:
-    """The assignment with short clients filled up; the moves are planned from the client counts, at most clients * minimum of them."""
+    """The assignment with short clients filled up; the moves are planned from the client counts, at most clients * minimum of them.
+
+    A donor gives its rows of the greatest hash; they are found by hash bins, so
+    the largest client is not sorted in one task.
+    """
     counts = {(r["split"], r["client_id"]): r["n"] for r in assigned.groupBy("split", "client_id").agg(F.count("*").alias("n")).collect()}
-    plan = []
+    plan, given = [], {}
     for split in sorted({s for s, _ in counts}):
-        given: dict[int, int] = {}
-        for donor, recipient in rebalance_moves({c: counts.get((split, c), 0) for c in range(clients)}, train_minimum if split == "train" else minimum):
-            given[donor] = given.get(donor, 0) + 1
-            plan.append((split, donor, given[donor], recipient))
+        for donor, recipient in transfers({c: counts.get((split, c), 0) for c in range(clients)}, train_minimum if split == "train" else minimum):
+            given[split, donor] = given.get((split, donor), 0) + 1
+            plan.append((split, donor, given[split, donor], recipient))
     if not plan:
         return assigned
-    moves = assigned.sparkSession.createDataFrame(plan, "split string, client_id int, back int, to_client int")
-    donors = moves.select("split", "client_id").distinct()
-    ranked = assigned.join(F.broadcast(donors), ["split", "client_id"], "left_semi").withColumn("back", F.row_number().over(Window.partitionBy("split", "client_id").orderBy(F.desc(hashed(0, "move", F.col("example_id"))), F.desc("example_id"))))
+    spark = assigned.sparkSession
+    moves = spark.createDataFrame(plan, "split string, client_id int, back int, to_client int")
+    quotas = spark.createDataFrame([(s, c, n) for (s, c), n in given.items()], "split string, client_id int, gives bigint")
+    donors = assigned.join(F.broadcast(quotas), ["split", "client_id"]).withColumn("_h", F.lit((1 << 32) - 1) - hashed(0, "move", F.col("example_id")))
+    few = smallest(donors, ["split", "client_id"], "_h", "example_id", F.col("gives")).where("taken")
+    ranked = few.withColumn("back", F.row_number().over(Window.partitionBy("split", "client_id").orderBy("_h", "example_id")))
     moved = ranked.join(F.broadcast(moves), ["split", "client_id", "back"]).select("example_id", "split", "to_client")
     return assigned.join(moved, ["example_id", "split"], "left").select("example_id", "split", "subject", F.coalesce("to_client", "client_id").alias("client_id"))
 

@@ -22,7 +22,7 @@ def weakness(records: DataFrame) -> DataFrame:
     counts = _counts(records)
     totals = counts.groupBy("subject").agg(F.sum("n").alias("tn"), F.sum("c").alias("tc"))
     # Clients by subjects is the result itself.
-    grid = counts.select("client_id").distinct().crossJoin(F.broadcast(totals))
+    grid = counts.select("client_id").distinct().crossJoin(totals)
     own = grid.join(counts, ["client_id", "subject"], "left")
     n, c = F.col("tn") - F.coalesce("n", F.lit(0)), F.col("tc") - F.coalesce("c", F.lit(0))
     error = own.select("client_id", "subject", F.when(n > 0, 1 - c / n).otherwise(0.0).alias("e"))

@@ -113,21 +113,32 @@ def rerank(pool: DataFrame, *, k: int = 5, alpha: float = 1.0, beta: float = 0.1
     bounded by its search size.  ``weights`` has client_id, subject, weight;
     missing weights are 0.
     """
-    rows = pool.withColumn("weight", F.lit(0.0)) if weights is None else pool.join(weights.select("client_id", "subject", "weight"), ["client_id", "subject"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    base = F.col("relevance") * alpha + F.col("weight") * gamma
-    packed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pool_rank", "vec_id", "example_id", base.alias("base"), F.col("vector").alias("v")))).alias("pool"))
+    rows = weighted(pool, weights)
+    return greedy(rows.withColumn("base", F.col("relevance") * alpha + F.col("weight") * gamma).withColumn("beta", F.lit(beta)), ["query_id"], k)
 
-    def step(chosen, _):
+
+def weighted(pool: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """Pool with the weight of each row's client and subject, 0 where there is none."""
+    if weights is None:
+        return pool.withColumn("weight", F.lit(0.0))
+    return pool.join(weights.select("client_id", "subject", "weight"), ["client_id", "subject"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+
+
+def greedy(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """by, position, vec_id, example_id: k steps that each take the row of highest base less beta times its largest product with a row taken."""
+    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pool_rank", "vec_id", "example_id", "base", "beta", F.col("vector").alias("v")))).alias("pool"))
+
+    def step(taken, _):
         def scored(c):
-            redundancy = F.aggregate(chosen, F.lit(0.0), lambda m, o: F.greatest(m, dot(c["v"], o["v"])))
-            return F.struct((c["base"] - redundancy * beta).alias("score"), (-c["pool_rank"]).alias("first"), (-c["vec_id"]).alias("then"), c.alias("row"))
+            redundancy = F.aggregate(taken, F.lit(0.0), lambda m, o: F.greatest(m, dot(c["v"], o["v"])))
+            return F.struct((c["base"] - redundancy * c["beta"]).alias("score"), (-c["pool_rank"]).alias("first"), (-c["vec_id"]).alias("then"), c.alias("row"))
 
-        left = F.filter(F.col("pool"), lambda c: ~F.exists(chosen, lambda o: o["vec_id"] == c["vec_id"]))
-        best = F.array_max(F.transform(left, lambda c: F.struct(scored(c)["score"].alias("score"), scored(c)["first"].alias("first"), scored(c)["then"].alias("then"))))
-        return F.concat(chosen, F.filter(left, lambda c: -c["vec_id"] == best["then"]))
+        left = F.filter(F.col("pool"), lambda c: ~F.exists(taken, lambda o: o["vec_id"] == c["vec_id"]))
+        best = F.array_max(F.transform(left, scored))
+        return F.when(F.size(left) > 0, F.concat(taken, F.array(best["row"]))).otherwise(taken)
 
-    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.slice("pool", 1, 0), step)
-    return packed.select("query_id", F.posexplode(chosen).alias("at", "row")).select("query_id", (F.col("at") + 1).alias("position"), F.col("row.vec_id").alias("vec_id"), F.col("row.example_id").alias("example_id"))
+    taken = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.slice("pool", 1, 0), step)
+    return packed.select(*by, F.posexplode(taken).alias("at", "row")).select(*by, (F.col("at") + 1).alias("position"), F.col("row.vec_id").alias("vec_id"), F.col("row.example_id").alias("example_id"))
 
 
 def first_of_pool(pool: DataFrame, *, k: int = 5) -> DataFrame:

@@ -18,6 +18,13 @@ def filter_native(rows: DataFrame) -> DataFrame:
     return rows.where(~is_placeholder(F.col("subject")))
 
 
+def require_rows(rows: DataFrame, what: str) -> DataFrame:
+    """The same rows; none is an error."""
+    if not rows.limit(1).count():
+        raise ValueError(f"no {what}")
+    return rows
+
+
 def filter_audit(rows: DataFrame) -> DataFrame:
     """Per split: input, retained and excluded rows."""
     out = is_placeholder(F.col("subject"))
@@ -43,29 +50,14 @@ def other_client_coverage(assigned: DataFrame) -> DataFrame:
     return joined.select("client_id", "subject", (F.coalesce("everywhere", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("other_rows"))
 
 
-def fit_shares(assigned: DataFrame, top: int | None = None) -> DataFrame:
-    """client_id, subject, share of the client's fit rows.  ``top``: only the clients with most fit rows."""
+def fit_shares(assigned: DataFrame) -> DataFrame:
+    """client_id, subject, share of the client's fit rows."""
     counts = assigned.where("role = 'fit'").groupBy("client_id", "subject").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("client_id").agg(F.sum("n").alias("size"))
-    if top:
-        sizes = sizes.orderBy(F.desc("size"), "client_id").limit(top)
     return counts.join(sizes, "client_id").select("client_id", "subject", (F.col("n") / F.col("size")).alias("share"))
 
 
-def total_variation(assigned: DataFrame, top: int | None = None) -> DataFrame:
-    """client_a < client_b: half the summed differences of their fit shares.
-
-    Half the differences over all subjects is one less the shared mass, so only
-    subjects that two clients share are joined; clients without one have 1.
-    """
-    shares = fit_shares(assigned, top)
-    a = shares.select(F.col("client_id").alias("client_a"), "subject", F.col("share").alias("share_a"))
-    b = shares.select(F.col("client_id").alias("client_b"), "subject", F.col("share").alias("share_b"))
-    shared = a.join(b, "subject").where("client_a < client_b").groupBy("client_a", "client_b").agg(F.sum(F.least("share_a", "share_b")).alias("common"))
-    return shared.select("client_a", "client_b", F.round(1 - F.col("common"), 6).alias("total_variation"))
-
-
-def every_total_variation(assigned: DataFrame) -> DataFrame:
+def total_variation(assigned: DataFrame) -> DataFrame:
     """client_a < client_b: total variation of every two clients with fit rows; 1 where they share no subject.
 
     A null subject is a subject here, as no row of a client may get lost.

@@ -61,7 +61,8 @@ def best_checkpoint(checkpoints: DataFrame, *by: str) -> DataFrame:
 
 
 def latest_checkpoint(checkpoints: DataFrame, *by: str) -> DataFrame:
-    return checkpoints.groupBy(*by).agg(F.max(F.struct("round", "epoch", "step", "name")).alias("b")).select(*by, F.col("b.name").alias("name"))
+    """Furthest by round, epoch and step; the latest written among equals, then the last by name."""
+    return checkpoints.groupBy(*by).agg(F.max(F.struct("round", "epoch", "step", "mtime", "name")).alias("b")).select(*by, F.col("b.name").alias("name"))
 
 
 def prunable(checkpoints: DataFrame, *by: str, keep: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.models import bag_of_hashes
 from tessera.operators import assigned as A
 from tessera.operators import contrasts, matching, metrics, priors, statistics
 from tessera.plans import sql
@@ -34,11 +35,6 @@ def _priors(s, d):
     return priors.weakness(records(s, d).where("split = 'validation'"))
 
 
-def _small_differences(s, d):
-    """One contrast's items for the draws that are made item by item."""
-    return _differences(s, d).where("subject = 'signup' AND seed = 42").select("example_id", "d")
-
-
 def queries():
     return {
         "accuracy": lambda s, d: metrics.accuracy(records(s, d), "arm", "split"),
@@ -60,24 +56,35 @@ def queries():
         "arm_comparison": lambda s, d: metrics.arm_comparison(_test(s, d)),
         "comparison_table": lambda s, d: metrics.comparison_table(metrics.arm_comparison(_test(s, d))),
         "likelihood_view": lambda s, d: metrics.accuracy(records(s, d).select("arm", F.col("likelihood_predicted").alias("predicted"), "gold"), "arm"),
-        "cohort_mismatches": lambda s, d: metrics.cohort_mismatches(records(s, d).groupBy("example_id").agg(F.max("gold").alias("label")), I.items(table(s, d, "examples")).select("example_id", "label"), "example_id", ["label"]).where("problem <> 'missing_left'"),
+        "cohort_mismatches": lambda s, d: metrics.cohort_mismatches(records(s, d).groupBy("example_id").agg(F.max("gold").alias("label")), I.items(table(s, d, "examples")).select("example_id", "label"), "example_id", ["label"]),
         "match_answers": lambda s, d: matching.match(records(s, d), I.items(table(s, d, "examples")), "portable"),
         "match_stage_counts": lambda s, d: matching.match(records(s, d), I.items(table(s, d, "examples")), "portable").groupBy("match_stage").agg(F.count("*").alias("n_records")),
         "loco_minmax_prior": lambda s, d: _priors(s, d),
-        "loco_beta_prior": lambda s, d: priors.controlled_weakness(records(s, d).where("split = 'validation'"), A.assigned(I.items(table(s, d, "examples")), table(s, d, "assignments")).where("role = 'support'"), min_count=10),
-        "prior_variation": lambda s, d: priors.variation_issues(_priors(s, d)),
+        "loco_beta_prior": lambda s, d: _beta(s, d),
+        "match_semantic": lambda s, d: matching.match(records(s, d), I.items(table(s, d, "examples")), "portable", encode=bag_of_hashes, threshold=0.3, margin=0.02),
+        "prior_variation": lambda s, d: priors.variation_issues(_beta(s, d)),
         "placebo_prior": lambda s, d: priors.shuffled(_priors(s, d), seed=7),
         "paired_effect": lambda s, d: statistics.effects(_differences(s, d), "subject", "seed"),
-        "pairing_issues": lambda s, d: statistics.pairing_issues(_pairs(s, d)[0].where("example_id % 7 > 0 OR subject = 'view'"), _pairs(s, d)[1], ["example_id"], ["gold", "client_id", "subject"]),
-        "hash_bootstrap": lambda s, d: statistics.interval(statistics.item_draws(_small_differences(s, d), samples=200, seed=3)),
+        "pairing_issues": lambda s, d: statistics.pairing_issues(_arm(s, d, "B0"), _arm(s, d, "B1"), ["split", "example_id"], ["gold", "client_id", "subject"]),
+        "hash_bootstrap": lambda s, d: statistics.interval(statistics.item_draws(_differences(s, d), "subject", "seed", samples=50, seed=3), "subject", "seed"),
         "bootstrap_fast": lambda s, d: statistics.interval(statistics.fast_draws(_differences(s, d), "subject", samples=10_000), "subject"),
         "bootstrap_hierarchical": lambda s, d: statistics.interval(statistics.hierarchical_draws(_differences(s, d), "subject", samples=10_000), "subject"),
         "holm": lambda s, d: statistics.holm(statistics.effects(_differences(s, d), "subject", "seed").select(F.concat_ws("-", "subject", "seed").alias("name"), F.round(F.abs("effect") / 3, 6).alias("p_value"))),
-        "contrast_effects": lambda s, d: contrasts.seed_effects(_contrast_rows(s, d), contrasts.table_of(s)),
-        "contrast_report": lambda s, d: contrasts.report(_contrast_rows(s, d), contrasts.table_of(s), samples=10_000),
+        "contrast_effects": lambda s, d: contrasts.seed_effects(_contrast_rows(s, d), contrasts.selected(s)),
+        "contrast_report": lambda s, d: contrasts.report(_contrast_rows(s, d), contrasts.selected(s), samples=10_000),
     }
 
 
+def _arm(s, d, arm):
+    """All deliveries of an arm's records, repeated ones too."""
+    return table(s, d, "evaluation_records").where(F.col("arm") == arm)
+
+
+def _beta(s, d):
+    support = A.assigned(I.items(table(s, d, "examples")), table(s, d, "assignments")).where("role = 'support'")
+    return priors.controlled_weakness(records(s, d).where("split = 'validation'"), support, min_count=10)
+
+
 def _contrast_rows(s, d):
     """The two paired arms under names of the declared contrasts; B0 and B1 have no training seed."""
     p = A.paired_predictions(table(s, d, "events"))
@@ -100,7 +107,7 @@ def _acc(keys, where="true", predicted="predicted"):
 
 
 _BIN = "CASE " + " ".join(f"WHEN likelihood_confidence >= CAST({i} AS DOUBLE) / 10 AND likelihood_confidence {'<=' if i == 9 else '<'} CAST({i + 1} AS DOUBLE) / 10 THEN {i}" for i in range(10)) + " ELSE -1 END"
-_BINS = f"""bins AS (SELECT arm, {_BIN} AS bin, count(*) AS n_records, avg(CAST({_L} AS DOUBLE)) AS accuracy, avg(likelihood_confidence) AS confidence
+_BINS = f"""bins AS (SELECT arm, {_BIN} AS bin, count(*) AS n_records, CAST(count(*) FILTER (WHERE {_L}) AS DOUBLE) / count(*) AS accuracy, CAST(sum(CAST(likelihood_confidence AS DECIMAL(20,12))) AS DOUBLE) / count(*) AS confidence
   FROM records WHERE likelihood_confidence IS NOT NULL AND likelihood_predicted IS NOT NULL GROUP BY 1, 2)"""
 _COUNTS = f"c AS (SELECT client_id, subject, count(*) AS n, sum(CAST({_C} AS INTEGER)) AS c FROM records WHERE split = 'validation' GROUP BY 1, 2)"
 _PRIOR = f"""{_COUNTS}, g AS (SELECT k.client_id, t.subject, t.tn - coalesce(c.n, 0) AS n, t.tc - coalesce(c.c, 0) AS c FROM (SELECT DISTINCT client_id FROM c) k CROSS JOIN (SELECT subject, sum(n) AS tn, sum(c) AS tc FROM c GROUP BY 1) t
@@ -110,19 +117,25 @@ _PRIOR = f"""{_COUNTS}, g AS (SELECT k.client_id, t.subject, t.tn - coalesce(c.n
 _D = f"""{sql.PREDICTIONS}, d AS (SELECT a.seed, a.subject, a.example_id, CAST(coalesce(b.predicted = b.gold, false) AS INTEGER) - CAST(coalesce(a.predicted = a.gold, false) AS INTEGER) AS d
   FROM predictions a JOIN predictions b ON a.example_id = b.example_id AND a.arm = 'left' AND b.arm = 'right')"""
 
+_BETA = f"""WITH {sql.RECORDS}, {sql.ASSIGNED}, {_COUNTS}, w AS (SELECT DISTINCT client_id, subject FROM assigned WHERE role = 'support'), t AS (SELECT subject, sum(n) AS tn, sum(c) AS tc FROM c GROUP BY 1),
+            j AS (SELECT w.client_id, w.subject, coalesce(t.tn, 0) - coalesce(c.n, 0) AS n, coalesce(t.tc, 0) - coalesce(c.c, 0) AS k FROM w LEFT JOIN t ON w.subject = t.subject LEFT JOIN c ON c.client_id = w.client_id AND c.subject = w.subject)
+            SELECT client_id, subject, CAST(n AS BIGINT) AS n_other, CASE WHEN n >= 10 THEN round(CAST(n - k + 1 AS DOUBLE) / (n + 2), 6) END AS weight FROM j"""
+
 
 def oracle_sql():
     n = sql.norm
-    match = f"""WITH {sql.ITEMS}, {sql.RECORDS}, r AS (SELECT r.record_id, upper(regexp_extract(generated_text, '(?i)Final\\s+answer\\s*:\\s*([A-D])\\s*[.)]?\\s*$', 1)) AS t, {n('generated_text')} AS n, i.options FROM records r LEFT JOIN items i ON r.example_id = i.example_id),
+    match = f"""WITH {sql.ITEMS}, {sql.RECORDS}, r AS (SELECT r.record_id, upper(regexp_extract(generated_text, '(?i)Final\\s+answer\\s*:\\s*([A-D])\\s*[.)]?\\s*$', 1)) AS t, {n('generated_text')} AS n, generated_text, i.options FROM records r LEFT JOIN items i ON r.example_id = i.example_id),
         m AS (SELECT record_id, CASE WHEN t <> '' THEN ascii(t) - 65 END AS t, list_filter([CASE WHEN {n('options[1]')} = n THEN 0 END, CASE WHEN {n('options[2]')} = n THEN 1 END, CASE WHEN {n('options[3]')} = n THEN 2 END, CASE WHEN {n('options[4]')} = n THEN 3 END], lambda x: x IS NOT NULL) AS x FROM r),
         matched AS (SELECT record_id, CAST(coalesce(t, CASE WHEN len(x) = 1 THEN x[1] END) AS INTEGER) AS label, CASE WHEN t IS NOT NULL THEN 'terminal_label' WHEN len(x) = 1 THEN 'exact_option' ELSE 'unresolved' END AS match_stage FROM m)"""
     f1 = " + ".join(f"coalesce(2.0 * count(*) FILTER (WHERE predicted = {k} AND gold = {k}) / nullif(count(*) FILTER (WHERE predicted = {k}) + count(*) FILTER (WHERE gold = {k}), 0), 0)" for k in range(4))
-    runs = f"""runs AS (SELECT arm, seed, avg(CAST({_C} AS DOUBLE)) AS a, avg(CAST({_EXACT} AS DOUBLE)) AS b, avg(CAST({_L} AS DOUBLE)) AS c FROM records WHERE split = 'test' GROUP BY 1, 2),
-        comparison AS (SELECT arm, metric, count(x) AS runs, round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x), 0), 6) AS std FROM (SELECT arm, 'pipeline_accuracy' AS metric, a AS x FROM runs UNION ALL SELECT arm, 'exact_match_coverage', b FROM runs UNION ALL SELECT arm, 'likelihood_accuracy', c FROM runs) GROUP BY 1, 2)"""
+    per_bin = f"SELECT arm, coalesce(seed, -1) AS s, {_BIN} AS bin, count(*) AS n, CAST(count(*) FILTER (WHERE {_L}) AS DOUBLE) / count(*) AS a, CAST(sum(CAST(likelihood_confidence AS DECIMAL(20,12))) AS DOUBLE) / count(*) AS c FROM records WHERE split = 'test' AND likelihood_confidence IS NOT NULL AND likelihood_predicted IS NOT NULL GROUP BY 1, 2, 3"
+    runs = f"""e AS (SELECT arm, s, round(sum(CASE WHEN bin >= 0 THEN n * abs(a - c) ELSE 0 END) / sum(n), 6) AS ece FROM ({per_bin}) GROUP BY 1, 2),
+        runs AS (SELECT r.*, e.ece FROM (SELECT arm, coalesce(seed, -1) AS s, avg(CAST({_C} AS DOUBLE)) AS pipeline_accuracy, round(({f1}) / 4, 6) AS macro_f1, avg(CAST({_EXACT} AS DOUBLE)) AS exact_match_coverage, avg(CAST(coalesce(stage = 'semantic_option', false) AS DOUBLE)) AS semantic_fallback_rate, avg(CAST({_L} AS DOUBLE)) AS likelihood_accuracy FROM records WHERE split = 'test' GROUP BY 1, 2) r LEFT JOIN e ON r.arm = e.arm AND r.s = e.s),
+        comparison AS (SELECT arm, metric, count(x) AS runs, round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x), 0), 6) AS std FROM ({" UNION ALL ".join(f"SELECT arm, '{m}' AS metric, {m} AS x FROM runs" for m in metrics.METRICS)}) GROUP BY 1, 2)"""
     slice_ = lambda name, col, where="true": f"SELECT arm, '{name}' AS slice, CAST({col} AS VARCHAR) AS value, count(*) AS n_records, {_avg(_C)} AS accuracy FROM records WHERE split = 'test' AND {where} GROUP BY 1, 2, 3"
-    draws = f"""{_D}, s AS (SELECT d, CAST(row_number() OVER (ORDER BY md5('item:' || CAST(example_id AS VARCHAR)), example_id) AS BIGINT) - 1 AS pos, count(*) OVER () AS n FROM d WHERE subject = 'signup' AND seed = 42),
-        c AS (SELECT k AS draw, CAST(floor(CAST(CAST('0x' || substr(md5('3:' || CAST(k AS VARCHAR) || ':' || CAST(pos AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 * n) AS BIGINT) AS pos FROM s CROSS JOIN (SELECT unnest(range(200)) AS k)),
-        x AS (SELECT draw, avg(s.d) AS x FROM c JOIN s ON c.pos = s.pos GROUP BY 1)"""
+    draws = f"""{_D}, s AS (SELECT subject, seed, d, CAST(row_number() OVER (PARTITION BY subject, seed ORDER BY md5('item:' || CAST(seed AS VARCHAR) || ':' || subject || ':' || CAST(example_id AS VARCHAR)), seed, subject, example_id) AS BIGINT) - 1 AS pos, count(*) OVER (PARTITION BY subject, seed) AS n FROM d),
+        c AS (SELECT subject, seed, k AS draw, CAST(floor(CAST(CAST('0x' || substr(md5('3:' || subject || ':' || CAST(seed AS VARCHAR) || ':' || CAST(k AS VARCHAR) || ':' || CAST(pos AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 * n) AS BIGINT) AS pos FROM s CROSS JOIN (SELECT unnest(range(50)) AS k)),
+        x AS (SELECT c.subject, c.seed, draw, avg(s.d) AS x FROM c JOIN s ON c.pos = s.pos AND c.subject = s.subject AND c.seed = s.seed GROUP BY 1, 2, 3)"""
     return {
         "accuracy": _acc("arm, split"),
         "accuracy_by_client": _acc("arm, client_id"),
@@ -142,26 +155,35 @@ def oracle_sql():
         "over_budget": f"WITH {sql.RECORDS} SELECT record_id, prompt_tokens FROM records WHERE prompt_tokens + 64 > 1400",
         "exemplar_usage": f"WITH {sql.RECORDS} SELECT arm, exemplar_id, count(*) AS n_shown FROM (SELECT arm, unnest(exemplar_ids) AS exemplar_id FROM records) GROUP BY 1, 2",
         "arm_comparison": f"WITH {sql.RECORDS}, {runs} SELECT * FROM comparison",
-        "comparison_table": f"""WITH {sql.RECORDS}, {runs}, cell AS (SELECT *, CASE WHEN runs > 1 THEN printf('%.4f ± %.4f', mean, std) ELSE printf('%.4f', mean) END AS cell FROM comparison),
-            w AS (SELECT arm, max(mean) FILTER (WHERE metric = 'pipeline_accuracy') AS score, coalesce(max(cell) FILTER (WHERE metric = 'pipeline_accuracy'), '-') AS a, coalesce(max(cell) FILTER (WHERE metric = 'exact_match_coverage'), '-') AS b, coalesce(max(cell) FILTER (WHERE metric = 'likelihood_accuracy'), '-') AS c FROM cell GROUP BY 1)
-            SELECT CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, arm) AS INTEGER) AS position, '| ' || arm || ' | ' || a || ' | ' || b || ' | ' || c || ' |' AS line FROM w""",
+        "comparison_table": f"""WITH {sql.RECORDS}, {runs}, cell AS (SELECT *, CASE WHEN runs > 1 THEN printf('%.4f ± %.4f', mean, std) WHEN runs = 1 THEN printf('%.4f', mean) END AS cell FROM comparison),
+            w AS (SELECT arm, max(mean) FILTER (WHERE metric = 'pipeline_accuracy') AS score, {", ".join(f"coalesce(max(cell) FILTER (WHERE metric = '{m}'), '-') AS {m}" for m in metrics.METRICS)} FROM cell GROUP BY 1)
+            SELECT CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, arm) AS INTEGER) AS position, '| ' || arm || ' | ' || {" || ' | ' || ".join(metrics.METRICS)} || ' |' AS line FROM w""",
         "likelihood_view": _acc("arm", predicted="likelihood_predicted"),
-        "cohort_mismatches": f"""WITH {sql.RECORDS}, {sql.ITEMS}, a AS (SELECT example_id, max(gold) AS label FROM records GROUP BY 1) SELECT a.example_id, CASE WHEN i.example_id IS NULL THEN 'missing_right' ELSE 'different' END AS problem FROM a LEFT JOIN items i ON a.example_id = i.example_id
-            WHERE i.example_id IS NULL OR a.label IS DISTINCT FROM i.label""",
+        "cohort_mismatches": f"""WITH {sql.RECORDS}, {sql.ITEMS}, a AS (SELECT example_id, max(gold) AS label FROM records GROUP BY 1) SELECT coalesce(a.example_id, i.example_id) AS example_id, CASE WHEN i.example_id IS NULL THEN 'missing_right' WHEN a.example_id IS NULL THEN 'missing_left' ELSE 'different' END AS problem
+            FROM a FULL JOIN items i ON a.example_id = i.example_id WHERE i.example_id IS NULL OR a.example_id IS NULL OR a.label IS DISTINCT FROM i.label""",
         "match_answers": match + " SELECT * FROM matched",
         "match_stage_counts": match + " SELECT match_stage, count(*) AS n_records FROM matched GROUP BY 1",
+        "match_semantic": match
+        + f""", w AS (SELECT record_id, 9 AS i, generated_text AS t FROM r WHERE options IS NOT NULL AND n <> '' UNION ALL SELECT record_id, i, options[i + 1] FROM r CROSS JOIN (SELECT unnest(range(4)) AS i) WHERE options IS NOT NULL AND n <> ''),
+        v AS (SELECT record_id, i, list_transform(range(16), lambda b: CAST(len(list_filter(h, lambda x: x = b)) AS DOUBLE)) AS v FROM (SELECT record_id, i, list_transform(list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> ''), lambda x: CAST('0x' || right(sha256(x), 1) AS BIGINT)) AS h FROM w)),
+        u AS (SELECT record_id, i, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM v),
+        c AS (SELECT a.record_id, b.i, list_dot_product(b.v, a.v) AS s, row_number() OVER (PARTITION BY a.record_id ORDER BY list_dot_product(b.v, a.v) DESC, b.i) AS k FROM u a JOIN u b ON a.record_id = b.record_id AND a.i = 9 AND b.i < 9),
+        z AS (SELECT record_id, max(i) FILTER (WHERE k = 1) AS i FROM c GROUP BY 1 HAVING max(s) FILTER (WHERE k = 1) >= 0.3 AND max(s) FILTER (WHERE k = 1) - max(s) FILTER (WHERE k = 2) >= 0.02)
+        SELECT matched.record_id, CAST(CASE WHEN match_stage = 'unresolved' THEN z.i ELSE label END AS INTEGER) AS label, CASE WHEN match_stage = 'unresolved' AND z.i IS NOT NULL THEN 'semantic_option' ELSE match_stage END AS match_stage FROM matched LEFT JOIN z ON matched.record_id = z.record_id""",
         "loco_minmax_prior": f"WITH {sql.RECORDS}, {_PRIOR} SELECT * FROM prior",
-        "loco_beta_prior": f"""WITH {sql.RECORDS}, {sql.ASSIGNED}, {_COUNTS}, w AS (SELECT DISTINCT client_id, subject FROM assigned WHERE role = 'support'), t AS (SELECT subject, sum(n) AS tn, sum(c) AS tc FROM c GROUP BY 1),
-            j AS (SELECT w.client_id, w.subject, coalesce(t.tn, 0) - coalesce(c.n, 0) AS n, coalesce(t.tc, 0) - coalesce(c.c, 0) AS k FROM w LEFT JOIN t ON w.subject = t.subject LEFT JOIN c ON c.client_id = w.client_id AND c.subject = w.subject)
-            SELECT client_id, subject, CAST(n AS BIGINT) AS n_other, CASE WHEN n >= 10 THEN round(CAST(n - k + 1 AS DOUBLE) / (n + 2), 6) END AS weight FROM j""",
-        "prior_variation": f"""WITH {sql.RECORDS}, {_PRIOR}, p AS (SELECT client_id, count(*) AS n, max(weight) - min(weight) AS r, count(*) FILTER (WHERE weight IS NULL OR weight NOT BETWEEN 0 AND 1) AS bad FROM prior GROUP BY 1)
-            SELECT client_id, CASE WHEN bad > 0 THEN 'out_of_range' WHEN n < 2 THEN 'one_subject' ELSE 'constant' END AS rule FROM p WHERE bad > 0 OR n < 2 OR r <= 1e-12""",
+        "loco_beta_prior": _BETA,
+
+        "prior_variation": f"""SELECT client_id, CASE WHEN bad > 0 THEN 'out_of_range' WHEN n < 2 THEN 'one_subject' ELSE 'constant' END AS rule
+            FROM (SELECT client_id, count(*) AS n, max(weight) - min(weight) AS r, count(*) FILTER (WHERE weight IS NULL OR weight NOT BETWEEN 0 AND 1) AS bad FROM ({_BETA}) GROUP BY 1) WHERE bad > 0 OR n < 2 OR r <= 1e-12""",
         "placebo_prior": f"""WITH {sql.RECORDS}, {_PRIOR}, r AS (SELECT client_id, subject, weight, row_number() OVER (PARTITION BY client_id ORDER BY subject) AS pos, row_number() OVER (PARTITION BY client_id ORDER BY md5('7:' || CAST(client_id AS VARCHAR) || ':' || subject), subject) AS to_ FROM prior),
             m AS (SELECT a.client_id, a.subject, a.pos, a.weight AS old, b.weight AS new FROM r a JOIN r b ON a.client_id = b.client_id AND a.pos = b.to_)
             SELECT client_id, subject, CASE WHEN min(CAST(old = new AS INTEGER)) OVER (PARTITION BY client_id) = 1 THEN coalesce(lead(old) OVER (PARTITION BY client_id ORDER BY pos), first_value(old) OVER (PARTITION BY client_id ORDER BY pos)) ELSE new END AS weight FROM m""",
         "paired_effect": f"WITH {_D} SELECT subject, seed, count(*) AS n_items, round(avg(d), 6) AS effect FROM d GROUP BY 1, 2",
-        "pairing_issues": f"WITH {sql.PREDICTIONS} SELECT 'missing_left' AS problem, count(*) AS n FROM predictions WHERE arm = 'right' AND NOT (example_id % 7 > 0 OR subject = 'view') HAVING count(*) > 0",
-        "hash_bootstrap": f"WITH {draws} SELECT round(quantile_cont(x, 0.025), 6) AS ci_low, round(quantile_cont(x, 0.975), 6) AS ci_high, round(least(1.0, 2 * least(avg(CAST(x <= 0 AS DOUBLE)), avg(CAST(x >= 0 AS DOUBLE)))), 6) AS p_value FROM x",
+        "pairing_issues": """WITH a AS (SELECT split, example_id, row(gold, client_id, subject) AS f FROM evaluation_records WHERE arm = 'B0'), b AS (SELECT split, example_id, row(gold, client_id, subject) AS f FROM evaluation_records WHERE arm = 'B1'),
+            j AS (SELECT CASE WHEN b.example_id IS NULL THEN 'missing_right' WHEN a.example_id IS NULL THEN 'missing_left' WHEN a.f IS DISTINCT FROM b.f THEN 'inconsistent' END AS problem FROM a FULL JOIN b ON a.split = b.split AND a.example_id = b.example_id)
+            SELECT problem, count(*) AS n FROM j WHERE problem IS NOT NULL GROUP BY 1
+            UNION ALL SELECT 'duplicate_left', count(*) FROM (SELECT 1 FROM a GROUP BY split, example_id HAVING count(*) > 1) HAVING count(*) > 0 UNION ALL SELECT 'duplicate_right', count(*) FROM (SELECT 1 FROM b GROUP BY split, example_id HAVING count(*) > 1) HAVING count(*) > 0""",
+        "hash_bootstrap": f"WITH {draws} SELECT subject, seed, round(quantile_cont(x, 0.025), 6) AS ci_low, round(quantile_cont(x, 0.975), 6) AS ci_high, round(least(1.0, 2 * least(avg(CAST(x <= 0 AS DOUBLE)), avg(CAST(x >= 0 AS DOUBLE)))), 6) AS p_value FROM x GROUP BY 1, 2",
         "holm": f"""WITH {_D}, t AS (SELECT subject || '-' || CAST(seed AS VARCHAR) AS name, round(abs(round(avg(d), 6)) / 3, 6) AS p_value FROM d GROUP BY subject, seed),
             c AS (SELECT name, p_value, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p_value, name) + 1) * p_value) AS c FROM t)
             SELECT name, p_value, round(max(c) OVER (ORDER BY p_value, name ROWS UNBOUNDED PRECEDING), 6) AS holm_adjusted FROM c""",

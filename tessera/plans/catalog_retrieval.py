@@ -63,9 +63,7 @@ def _assigned(s, d):
 
 def _partition(s, d):
     items = _items(s, d)
-    # Subjects are a dimension of bounded size.
-    names = [r[0] for r in items.where(F.col("subject").isNotNull()).select("subject").distinct().collect()]
-    weights = s.createDataFrame(partition.dirichlet_weights(names), "subject string, client int, weight double, cumulative double")
+    weights = partition.subject_weights(items)
     return partition.roles(partition.rebalance(partition.assign_clients(items, weights)))
 
 
@@ -193,6 +191,10 @@ def oracle_sql():
         "rerank_diversity": f"WITH {POOL}, {_rerank_sql(0.15, 0)} SELECT query_id, CAST(position AS INTEGER) AS position, vec_id FROM r",
         "rerank_prior": f"WITH {prior}, {POOL}, {_rerank_sql(0.0, 0.2)} SELECT query_id, CAST(position AS INTEGER) AS position, vec_id FROM r",
         "rerank_full": f"{full} SELECT query_id, CAST(position AS INTEGER) AS position, vec_id FROM r",
+        "rerank_placebo": f"""WITH {prior.replace("prior AS (", "prior0 AS (")}, r0 AS (SELECT client_id, subject, weight, row_number() OVER (PARTITION BY client_id ORDER BY subject) AS pos, row_number() OVER (PARTITION BY client_id ORDER BY md5('7:' || CAST(client_id AS VARCHAR) || ':' || subject), subject) AS to_ FROM prior0),
+            m0 AS (SELECT a.client_id, a.subject, a.pos, a.weight AS old, b.weight AS new FROM r0 a JOIN r0 b ON a.client_id = b.client_id AND a.pos = b.to_),
+            prior AS (SELECT client_id, subject, CASE WHEN min(CAST(old = new AS INTEGER)) OVER (PARTITION BY client_id) = 1 THEN coalesce(lead(old) OVER (PARTITION BY client_id ORDER BY pos), first_value(old) OVER (PARTITION BY client_id ORDER BY pos)) ELSE new END AS weight FROM m0),
+            {POOL}, {_rerank_sql(0.15, 0.2)} SELECT query_id, CAST(position AS INTEGER) AS position, vec_id FROM r""",
         "rerank_activity": f"""{full}, {_rerank_sql(0.15, 0, "n")}, plain AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY pool_rank, vec_id) AS position FROM pool),
             l AS (SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY position) AS c FROM r GROUP BY 1), ln AS (SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY position) AS w FROM n GROUP BY 1), lp AS (SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY position) AS p FROM plain WHERE position <= 5 GROUP BY 1),
             v AS (SELECT query_id, max(coalesce(weight, 0)) > min(coalesce(weight, 0)) AS varying FROM pool LEFT JOIN prior ON pool.client_id = prior.client_id AND pool.subject = prior.subject GROUP BY 1)
@@ -226,7 +228,7 @@ def oracle_sql():
         "accumulation_groups": f"WITH {sql.RECORDS}, {_BATCHES}, g AS (SELECT DISTINCT 1 AS epoch, batch, batch // 8 AS step FROM b) SELECT epoch, batch, step, count(*) OVER w AS group_size, batch = max(batch) OVER w AS is_step FROM g WINDOW w AS (PARTITION BY epoch, step)",
         "label_mask": f"WITH {sql.RECORDS} SELECT record_id, repeat('-100,', gold + 1) || CAST(prompt_tokens AS VARCHAR) || ',0' AS labels FROM records",
         "best_checkpoint": f"WITH {sql.RECORDS}, {_CHECKPOINTS} SELECT arm, name, round(loss, 6) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY loss, round, step, epoch, name) AS rn FROM ck WHERE loss IS NOT NULL AND round > 0) WHERE rn = 1",
-        "latest_checkpoint": f"WITH {sql.RECORDS}, {_CHECKPOINTS} SELECT arm, name FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY round DESC, epoch DESC, step DESC, name DESC) AS rn FROM ck) WHERE rn = 1",
+        "latest_checkpoint": f"WITH {sql.RECORDS}, {_CHECKPOINTS} SELECT arm, name FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY round DESC, epoch DESC, step DESC, mtime DESC, name DESC) AS rn FROM ck) WHERE rn = 1",
         "prunable_checkpoints": f"WITH {sql.RECORDS}, {_CHECKPOINTS} SELECT arm, name FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY mtime DESC, name) AS rn FROM ck WHERE protected IS NOT NULL AND is_step AND NOT protected) WHERE rn > 3",
         "select_round": f"WITH {sql.RECORDS}, s AS (SELECT client_id % 9 AS round, seed, avg(CAST(coalesce(predicted = gold, false) AS DOUBLE)) AS a FROM records WHERE seed IS NOT NULL GROUP BY 1, 2), m AS (SELECT round, round(avg(a), 9) AS a FROM s GROUP BY 1) SELECT round, round(a, 6) AS accuracy FROM m ORDER BY a DESC, round LIMIT 1",
         "throughput": f"WITH {sql.RECORDS} SELECT arm, round(CAST(sum(prompt_tokens) AS DOUBLE) / sum((gold + 1) * 2), 6) AS exposures_per_s FROM records GROUP BY 1",

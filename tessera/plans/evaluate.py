@@ -49,7 +49,8 @@ def evaluate_arm(items: DataFrame, assigned: DataFrame, arm: str, split: str, co
     """
     r = config.retrieval
     found = pools(items, assigned, split, config, encode)
-    chosen = arms.choose(eligible(found), arm, k=r.top_k, alpha=r.alpha, beta=r.beta, gamma=r.gamma, weights=weights)
+    table = arms.arms(items.sparkSession, train_icl=True).where(F.col("arm") == arm)
+    chosen = arms.chosen(eligible(found), table, k=r.top_k, alpha=r.alpha, beta=r.beta, gamma=r.gamma, weights=weights).drop("arm")
     asked = assigned.where(F.col("role") == split).select(F.col("example_id").alias("query_id"), "client_id")
     texts = prompts.prompts(items, chosen).join(asked, "query_id")
     replies = generate(texts.select("query_id", F.concat(F.lit(prompts.SYSTEM), F.lit("\n\n"), "user").alias("user")), generator)

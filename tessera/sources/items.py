@@ -134,15 +134,21 @@ def duplicate_ids(rows: DataFrame, key: str = "example_id") -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
-def head_per_split(rows: DataFrame, limits: dict[str, int], order: list[str]) -> DataFrame:
-    """First rows of each split in a stable order; splits without a limit stay whole."""
-    from pyspark.sql import Window
+def head_per_split(rows: DataFrame, limits: dict[str, int], seed: int = 20260901) -> DataFrame:
+    """Rows of each split with the smallest hash of their id, as many as its limit; splits without a limit stay whole.
+
+    Only the hash bin at the cut is ranked, so no split is sorted in one task.
+    """
+    from tessera.operators import partition
 
     if any(n <= 0 for n in limits.values()):
         raise ValueError("limits must be positive")
-    allowed = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("split")), F.lit(2**62)) if limits else F.lit(2**62)
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("split").orderBy(*order)))
-    return ranked.where(F.col("_rank") <= allowed).drop("_rank")
+    if not limits:
+        return rows
+    quota = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("split")), F.lit(2**62))
+    limited = F.coalesce(F.col("split").isin(*limits), F.lit(False))
+    hashed = rows.where(limited).withColumn("_h", partition.hashed(seed, "limit", F.col("example_id")))
+    return rows.where(~limited).unionByName(partition.smallest(hashed, ["split"], "_h", "example_id", quota).where("taken").select(*rows.columns))
 
 
 def load_splits(sources: dict[str, DataFrame], adapter, *, limits: dict[str, int] | None = None, fraction: float | None = None, seed: int = 20260901) -> DataFrame:
@@ -167,10 +173,29 @@ def load_splits(sources: dict[str, DataFrame], adapter, *, limits: dict[str, int
         whole = held.unionByName(native["validation"].withColumn("split", F.lit("test")))
     else:
         whole = rows["train"].unionByName(rows["validation"]).unionByName(rows["test"])
-    order = partition.hashed(seed, "limit", F.col("example_id"))
-    return head_per_split(whole.withColumn("_order", order), limits, ["_order", "example_id"]).drop("_order") if limits else whole
+    return head_per_split(whole, limits, seed) if limits else whole
+
+
+def to_json(rows: DataFrame) -> DataFrame:
+    """One column value: each item as a JSON object with its fields in name order, nulls kept."""
+    fields = sorted(f.name for f in ITEM.fields)
+    return rows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def from_json(lines: DataFrame) -> DataFrame:
+    """Items of JSON objects in column value; a line that is none has only nulls."""
+    return lines.select(F.from_json("value", ITEM).alias("i")).select("i.*")
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """Items as JSON lines; Spark commits the folder as a whole."""
+    to_json(rows).write.mode("overwrite").text(path)
 
 
 def read_jsonl(spark, paths) -> DataFrame:
-    """Items from JSON lines; a malformed line fails the read, blank lines are skipped."""
-    return spark.read.schema(ITEM).option("mode", "FAILFAST").json(paths)
+    """Items from JSON lines; blank lines are skipped, and reading a malformed one fails with its file and text."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
+    item = F.from_json("value", ITEM, {"mode": "PERMISSIVE"})
+    parsed = lines.select(item.alias("i"), F.try_parse_json("value").isNull().alias("bad"), "value", "path")
+    told = F.raise_error(F.concat(F.lit("invalid item in "), F.col("path"), F.lit(": "), F.substring("value", 1, 200)))
+    return parsed.select(F.when(F.col("bad"), told.cast(ITEM)).otherwise(F.col("i")).alias("i")).select("i.*")

@@ -1,7 +1,8 @@
 """Partitioned tables with a manifest that proves their content.
 
 Rows are written once, partitioned by client and role.  The manifest has one
-line a partition: rows and a checksum that does not depend on their order.  The
+line a partition: rows and a checksum over all their columns that does not depend on
+their order.  The
 marker file comes last, so a table without it is unfinished.
 """
 
@@ -37,8 +38,15 @@ def checksum(key: Column) -> Column:
     return F.sum(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"))
 
 
-def counts(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("client_id", "role").agg(F.count("*").alias("n_rows"), checksum(F.col("example_id")).alias("checksum"))
+def counts(assigned: DataFrame, content: Column | None = None) -> DataFrame:
+    """Rows and checksum of ``content`` (the example id) by client and role."""
+    return assigned.groupBy("client_id", "role").agg(F.count("*").alias("n_rows"), checksum(F.col("example_id") if content is None else content).alias("checksum"))
+
+
+def content_counts(rows: DataFrame) -> DataFrame:
+    """Rows and checksum of whole rows by client and role, whatever types the two have been read with."""
+    plain = rows.withColumn("client_id", F.col("client_id").cast("int")).withColumn("role", F.col("role").cast("string"))
+    return counts(plain, row_hash(*plain.columns))
 
 
 def write_atomic(path: str, text: str) -> None:
@@ -65,16 +73,20 @@ def materialize(items: DataFrame, assignments: DataFrame, root: str, *, config:
     ``assignments`` has example_id, client_id, role.  The manifest is a Spark
     table as well (``root/manifest``), so it can have any number of partitions.
     """
-    joined = assignments.select("example_id", "client_id", "role").join(items, "example_id")
-    joined.write.partitionBy("client_id", "role").parquet(f"{root}/rows")
-    counts(assignments.join(items.select("example_id"), "example_id")).write.parquet(f"{root}/manifest")
+    from tessera.plans.staging import stage
+
+    joined = stage(assignments.select("example_id", "client_id", "role").join(items, "example_id"), "partition")
+    if joined.groupBy("client_id", "example_id").count().where("count > 1").limit(1).count():
+        raise ValueError("an item is assigned to a client twice")
+    joined.write.mode("overwrite").partitionBy("client_id", "role").parquet(f"{root}/rows")
+    content_counts(joined).write.mode("overwrite").parquet(f"{root}/manifest")
     write_atomic(_marker(root), canonical_json({"config_hash": object_hash(config)}))
 
 
 def differences(spark: SparkSession, root: str) -> DataFrame:
     """client_id, role, problem of partitions that are missing, extra or changed."""
-    found = counts(spark.read.parquet(f"{root}/rows")).select(F.col("client_id").cast("int").alias("client_id"), "role", F.struct("n_rows", "checksum").alias("f"))
-    stated = spark.read.parquet(f"{root}/manifest").select("client_id", "role", F.struct("n_rows", "checksum").alias("s"))
+    found = content_counts(spark.read.parquet(f"{root}/rows")).select(F.col("client_id").cast("int").alias("client_id"), "role", F.struct("n_rows", "checksum").alias("f"))
+    stated = spark.read.parquet(f"{root}/manifest").select(F.col("client_id").cast("int").alias("client_id"), "role", F.struct("n_rows", "checksum").alias("s"))
     problem = F.when(F.col("f").isNull(), "missing").when(F.col("s").isNull(), "extra").when(F.col("f") != F.col("s"), "hash mismatch")
     return found.join(stated, ["client_id", "role"], "full_outer").select("client_id", "role", problem.alias("problem")).where("problem is not null")
 

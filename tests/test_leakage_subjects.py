@@ -11,7 +11,7 @@ O = ["one", "two", "three", "four"]
 
 def rows_for(seed):
     r = random.Random(seed)
-    words = "what deficiency causes severe scurvy in adult patients near the left knee after long travel".split()
+    words = "which nerve lifts the upper eyelid in older people near a long lake after early winter rain".split()
     out = []
     for i in range(90):
         q = " ".join(r.choice(words) for _ in range(r.choice([0, 1, 3, 5, 8])))
@@ -43,12 +43,12 @@ def test_lexical_equals_brute(spark, make_items, t, hot):
 
 
 def test_issues(spark, make_items):
-    support = leakage.keyed(make_items([("s1", "What deficiency causes scurvy?", O, "train"), ("s2", "x", O, "test")]))
-    evaluation = leakage.keyed(make_items([("e1", "WHAT deficiency causes scurvy", O, "test"), ("e2", "What deficiency causes severe scurvy?", O, "test")]))
+    support = leakage.keyed(make_items([("s1", "Which nerve lifts the eyelid?", O, "train"), ("s2", "x", O, "test")]))
+    evaluation = leakage.keyed(make_items([("e1", "WHICH nerve: lifts the eyelid", O, "test"), ("e2", "Which nerve lifts the upper eyelid?", O, "test")]))
     got = {(r.kind, r.support_id, r.evaluation_id, r.value) for r in leakage.issues(support, evaluation, threshold=(3, 4)).collect()}
     kinds = {g[0] for g in got}
     assert kinds == {"normalized_question", "question_options_hash", "lexical_near_duplicate", "support_not_train"}
-    assert ("lexical_near_duplicate", "s1", "e2", "0.800000") in got
+    assert ("lexical_near_duplicate", "s1", "e2", "0.833333") in got
     with pytest.raises(ValueError, match="leakage"):
         leakage.assert_no_leakage(leakage.issues(support, evaluation))
     leakage.assert_no_leakage(leakage.issues(support.where("false"), evaluation))
@@ -108,11 +108,11 @@ def test_variation_of_every_pair(spark):
     rows = [(f"{c}-{i}", c, "fit", s) for c, subjects_ in {1: "AABB", 2: "AB", 3: "CC", 4: "C", 5: ["A", None]}.items() for i, s in enumerate(subjects_)]
     rows += [(f"o{c}", c, "fit", "A") for c in range(100, 150)] + [("x", 9, "test", "A")]
     df = spark.createDataFrame(rows, "example_id string, client_id int, role string, subject string")
-    got = {(r.client_a, r.client_b): r.total_variation for r in subjects.every_total_variation(df).collect()}
+    got = {(r.client_a, r.client_b): r.total_variation for r in subjects.total_variation(df).collect()}
     assert len(got) == 55 * 54 // 2
     assert [got[p] for p in ((1, 2), (1, 3), (3, 4), (1, 5), (3, 5), (1, 100), (3, 149), (100, 149))] == [0.0, 1.0, 0.0, 0.5, 1.0, 0.5, 1.0, 0.0]
     one = df.where("client_id in (5, 6)").unionAll(spark.createDataFrame([("n", 6, "fit", None)], df.schema))
-    assert [r.total_variation for r in subjects.every_total_variation(one).collect()] == [0.5]
+    assert [r.total_variation for r in subjects.total_variation(one).collect()] == [0.5]
 
 
 def test_provenance_issues(spark, make_items):
@@ -125,11 +125,34 @@ def test_provenance_issues(spark, make_items):
     s, e = keyed.where("split = 'train'"), keyed.where("split <> 'train'")
     got = {tuple(r) for r in leakage.provenance_issues(s.unionAll(s.where("example_id = 't0'")), e).collect()}
     assert got == {("provenance_group", "t0", f"e{i}", "big", 30) for i in range(4)} | {("provenance_group", "t90", "v1", "g", 1)}
-    pairs = leakage.exact_issues(s, e).where("kind = 3")
-    assert pairs.count() == sum(n for *_, n in got)
+    assert leakage.all_exact_issues(s, e).where("kind = 3").count() == len(got)
 
 
 def test_registered_leak_reports_name_provenance(spark):
     from tessera.plans import catalog
 
     assert "provenance_issues" in catalog.queries()
+
+
+def test_split_overlaps_name_all_three_pairs(spark, make_items):
+    df = make_items(
+        [
+            ("a", "one", O, "train", 0, "S", "g1"),
+            ("b", "ONE!", ["w", "x", "y", "z"], "validation", 0, "S", None),
+            ("c", "two", ["k", "l", "m", "n"], "validation", 0, "S", "g2"),
+            ("d", "three", ["p", "q", "r", "s"], "test", 0, "S", "g2"),
+            ("e", "four", ["5", "6", "7", "8"], "test", 0, "S", "g1"),
+            ("f", "five", ["5", "6", "7", "9"], "test", 0, "S", ""),
+        ]
+    )
+    keyed = leakage.keyed(df)
+    got = {tuple(r) for r in leakage.split_overlaps(keyed).collect()}
+    assert got == {("train", "validation", "normalized_question", 1), ("train", "test", "provenance_group", 1), ("validation", "test", "provenance_group", 1)}
+    with pytest.raises(ValueError, match="overlap"):
+        leakage.assert_disjoint(keyed)
+    kept = keyed.join(leakage.decontaminate(keyed).select("example_id"), "example_id", "left_anti")
+    leakage.assert_disjoint(kept)
+    with pytest.raises(ValueError, match="no rows"):
+        leakage.require_splits(kept.where("split <> 'train'"))
+    issues = {(r.kind, r.support_id, r.evaluation_id) for r in leakage.issues(keyed.where("split = 'train'"), keyed.where("split <> 'train'")).collect()}
+    assert ("provenance_group", "a", "e") in issues and ("normalized_question", "a", "b") in issues

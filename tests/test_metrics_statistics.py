@@ -130,13 +130,34 @@ def test_contrast_report(spark):
         rows += [(arm, None, str(i), 0, "S", 0, 0 if i < ok else 1, "x", 0 if i < lik else 1, 0.5) for i in range(100)]
     for arm, ok in (("F0", 40), ("F1", 45)):
         rows += [(arm, s, str(i), 0, "S", 0, 0 if i < ok else 1, "x", 0 if i < ok else 1, 0.5) for s in (42, 43) for i in range(100)]
-    got = {r.name: r for r in contrasts.report(frame(spark, rows), contrasts.table_of(spark, arms=["B0", "B1", "F0", "F1"]), samples=500).collect()}
+    got = {r.name: r for r in contrasts.report(frame(spark, rows), contrasts.selected(spark, present=frame(spark, rows)), samples=500).collect()}
     assert set(got) == {"base_icl", "fl_icl"}
     assert got["base_icl"].effect == 0.3 and got["base_icl"].evaluator_dependent and not got["fl_icl"].evaluator_dependent
     assert got["fl_icl"].effect == pytest.approx(0.05) and got["fl_icl"].ci_low <= 0.05 <= got["fl_icl"].ci_high
     assert got["base_icl"].holm_adjusted >= got["base_icl"].p_value
-    with pytest.raises(ValueError, match="no declared contrast"):
-        contrasts.table_of(spark, train_icl=True, arms=["F0", "LT1"])
-    assert contrasts.is_partial(["F0", "F1"]) and len(contrasts.declared(controlled=True, train_icl=True)) == 22
-    seedless = contrasts.aligned(frame(spark, rows).where("arm in ('B0', 'F1')").withColumn("arm", F.when(F.col("arm") == "B0", "F0").otherwise(F.col("arm"))), contrasts.table_of(spark, arms=["F0", "F1"]))
+    assert contrasts.selected(spark, train_icl=True, present=spark.createDataFrame([("F0",), ("LT1",)], "arm string")).count() == 0
+    assert contrasts.selected(spark, controlled=True, train_icl=True, descriptive=False).count() == 22
+    gaps = {(r.arm, r.problem) for r in contrasts.arm_gaps(contrasts.selected(spark), frame(spark, rows).unionAll(frame(spark, rows[:1]).withColumn("arm", F.lit("ZZ")))).collect()}
+    assert gaps == {("L0", "absent"), ("L1", "absent"), ("F2", "absent"), ("ZZ", "undeclared")}
+    seedless = contrasts.aligned(frame(spark, rows).where("arm in ('B0', 'F1')").withColumn("arm", F.when(F.col("arm") == "B0", "F0").otherwise(F.col("arm"))), contrasts.selected(spark))
     assert seedless.count() == 200
+
+
+def test_unpaired_arms_are_refused(spark):
+    def rows(**change):
+        out = [(arm, s, str(i), 0, "S", 0, 0, "x", 0, 0.5) for arm in ("F0", "F1") for s in (42, 43) for i in range(10)]
+        return frame(spark, [r for r in out if change.get("keep", lambda r: True)(r)] + change.get("more", []))
+
+    table = contrasts.selected(spark)
+    assert contrasts.unpaired(rows(), table).count() == 0 and contrasts.report(rows(), table, samples=50).count() == 1
+    cases = {
+        "missing_right": rows(keep=lambda r: r[:3] != ("F1", 42, "3")),
+        "missing_left": rows(keep=lambda r: r[:3] != ("F0", 42, "3")),
+        "seed_on_one_side": rows(keep=lambda r: r[:2] != ("F1", 43)),
+        "repeated": rows(more=[("F1", 42, "3", 0, "S", 0, 0, "x", 0, 0.5)]),
+        "inconsistent": rows(keep=lambda r: r[:3] != ("F1", 42, "3"), more=[("F1", 42, "3", 0, "S", 2, 0, "x", 0, 0.5)]),
+    }
+    for problem, df in cases.items():
+        assert [(r.name, r.problem) for r in contrasts.unpaired(df, table).collect()] == [("fl_icl", problem)]
+        with pytest.raises(ValueError, match=problem):
+            contrasts.report(df, table, samples=50)

@@ -22,16 +22,55 @@ def test_config(tmp_path):
 
 
 def test_execute_resumes(tmp_path):
-    ran, state = [], str(tmp_path / "state.json")
+    ran, log = [], str(tmp_path / "log.jsonl")
 
     def fail():
         raise RuntimeError("no")
 
+    first = pipeline.Step("a", lambda: ran.append("a"))
     with pytest.raises(RuntimeError):
-        pipeline.execute([pipeline.Step("a", lambda: ran.append("a")), pipeline.Step("b", fail), pipeline.Step("c", lambda: ran.append("c"))], state)
-    assert [s["status"] for s in json.load(open(state))["steps"]] == ["completed", "failed", "pending"]
-    pipeline.execute([pipeline.Step("a", lambda: ran.append("a"), lambda: True), pipeline.Step("c", lambda: ran.append("c"))], state)
-    assert ran == ["a", "c"]
+        pipeline.execute([first, pipeline.Step("b", fail), pipeline.Step("c", lambda: ran.append("c"))], log)
+    assert pipeline.states(log) == {"a": "done", "b": "failed"}
+    with open(log, "a") as torn:
+        torn.write('{"step": "c", "ev')
+    assert pipeline.states(log) == {"a": "done", "b": "failed"}
+    with open(log, "a") as torn:
+        torn.write('ent": "begun"}\n')
+    states = pipeline.execute([first, pipeline.Step("b", lambda: ran.append("b"), lambda: True), pipeline.Step("c", lambda: ran.append("c"))], log)
+    assert ran == ["a", "c"] and states == {"a": "kept", "b": "kept", "c": "done"}
+    pipeline.execute([first], log, force=True)
+    assert ran == ["a", "c", "a"]
+
+
+def test_changed_content_is_refused(spark, make_items, tmp_path):
+    items = make_items([(f"e{i}", f"q{i}", ["1", "2", "3", "4"], "train") for i in range(8)])
+    assignments = items.select("example_id", F.lit(3).alias("client_id"), F.lit("fit").alias("role"))
+    for n, change in enumerate([("question", F.lit("other")), ("label", F.lit(2)), ("options", F.array(F.lit("x")))]):
+        root = str(tmp_path / f"t{n}")
+        manifest.materialize(items, assignments, root, config={})
+        assert manifest.load(spark, root, config={}).count() == 8
+        changed = items.withColumn(change[0], F.when(F.col("example_id") == "e3", change[1].cast(items.schema[change[0]].dataType)).otherwise(F.col(change[0])))
+        assignments.join(changed, "example_id").write.mode("overwrite").partitionBy("client_id", "role").parquet(f"{root}/rows")
+        with pytest.raises(ValueError, match="hash mismatch"):
+            manifest.load(spark, root, config={})
+    with pytest.raises(ValueError, match="twice"):
+        manifest.materialize(items, assignments.unionAll(assignments), str(tmp_path / "twice"), config={})
+
+
+def test_predictions_with_their_summary(spark, tmp_path):
+    from tessera.sources import predictions as P
+
+    rows = spark.createDataFrame([("F1", None, "test", "e1", 0, "S", 1, None, "unresolved", None, 0.5, "a\n\"b\"", 9, ["x"]), ("F1", 42, "test", "e2", 1, "S", 1, 1, "terminal_label", 1, None, None, 7, None)], P.FIELDS)
+    root = str(tmp_path / "run")
+    with pytest.raises(ValueError, match="summary"):
+        P.load(spark, root)
+    P.write(rows, root, rows.groupBy("arm").agg(F.count("*").alias("n")))
+    assert sorted(map(str, P.load(spark, root).collect())) == sorted(map(str, rows.collect()))
+    (tmp_path / "more.jsonl").write_text('{"prediction": {"arm": "F2", "gold": 3}, "extra": 1}\n\n{"arm": "F3", "gold": 2}\n')
+    assert {(r.arm, r.gold) for r in P.read(spark, str(tmp_path / "more.jsonl")).collect()} == {("F2", 3), ("F3", 2)}
+    spark.createDataFrame([('{"arm": "F9"}',)], "value string").write.mode("append").text(f"{root}/predictions")
+    with pytest.raises(ValueError, match="not those"):
+        P.load(spark, root)
 
 
 def test_manifest_round_trip(spark, make_items, tmp_path):
@@ -74,7 +113,7 @@ def test_prepare_steps(spark, make_items, tmp_path):
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     rows = [(f"{sp}{i}", " ".join(word() for _ in range(6)), [word() for _ in range(4)], sp, 1, f"s{i % 3}") for sp, n in (("train", 90), ("validation", 20), ("test", 20)) for i in range(n)]
     root = str(tmp_path / "out")
-    pipeline.execute(pipeline.prepare_steps(spark, make_items(rows), root, Config()), str(tmp_path / "s.json"))
+    pipeline.execute(pipeline.prepare_steps(spark, make_items(rows), root, Config()), str(tmp_path / "s.jsonl"))
     assert spark.read.parquet(f"{root}/rows").count() == 130
 
 

@@ -18,21 +18,36 @@ def order(df):
     return [r.vec_id for r in df.orderBy("position").collect()]
 
 
+def pick(spark, p, arm, **more):
+    return arms.chosen(p, arms.arms(spark, train_icl=True).where(F.col("arm") == arm), **more)
+
+
+def test_all_arms_in_one_plan(spark):
+    p = pool(spark)
+    w = spark.createDataFrame([(0, "Pathology", 1.0)], "client_id int, subject string, weight double")
+    table = arms.arms(spark, train_icl=True)
+    rows = arms.chosen(p, table, k=2, weights=w).collect()
+    assert {r.arm for r in rows} == {r.arm for r in table.where("uses_exemplars").collect()}
+    for arm in ("B1", "FD", "F2", "FS"):
+        assert [r.vec_id for r in sorted((r for r in rows if r.arm == arm), key=lambda r: r.position)] == order(pick(spark, p, arm, k=2, weights=w))
+    assert len(order(pick(spark, p, "B1", k=50))) == 6
+
+
 def test_rerank_arms(spark):
     p = pool(spark)
     w = spark.createDataFrame([(0, "Anatomy", 0.0), (0, "Pathology", 1.0)], "client_id int, subject string, weight double")
-    assert order(arms.choose(p, "F1")) == [0, 1, 2, 3, 4]
-    assert 5 in order(arms.choose(p, "FD"))
-    assert order(arms.choose(p, "FP", weights=w))[0] == 5
-    assert order(retrieval.rerank(p, beta=0.0, weights=w)) == order(arms.choose(p, "FP", weights=w))
+    assert order(pick(spark, p, "F1")) == [0, 1, 2, 3, 4]
+    assert 5 in order(pick(spark, p, "FD"))
+    assert order(pick(spark, p, "FP", weights=w))[0] == 5
+    assert order(retrieval.rerank(p, beta=0.0, weights=w)) == order(pick(spark, p, "FP", weights=w))
     assert order(retrieval.rerank(p, beta=0.0, gamma=0.0)) == [0, 1, 2, 3, 4]
-    assert arms.choose(p, "B0").count() == 0
+    assert pick(spark, p, "B0").count() == 0
     with pytest.raises(ValueError):
-        arms.choose(p, "F2")
+        pick(spark, p, "F2")
 
 
 def test_arm_table(spark):
-    assert [arms.arms(spark, **k).count() for k in ({}, {"controlled": True}, {"controlled": True, "train_icl": True})] == [8, 13, 20]
+    assert [arms.arms(spark, **k).count() for k in ({}, {"controlled": True}, {"train_icl": True})] == [8, 13, 20]
     assert arms.runs(arms.arms(spark), [42, 43, 44]).count() == 2 + 6 * 3
 
 
@@ -110,9 +125,9 @@ def test_partition_keeps_minimums(spark):
     assert len(rows) == 160 and len({r.example_id for r in rows}) == 160
     for c in range(5):
         assert counts[(c, "support")] >= 5 and counts[(c, "fit")] >= 1 and counts[(c, "validation")] >= 1 and counts[(c, "test")] >= 1
-    assert partition.rebalance_moves({0: 10, 1: 0, 2: 3}, 2) == [(0, 1), (0, 1)]
+    assert partition.transfers({0: 10, 1: 0, 2: 3}, 2) == [(0, 1), (0, 1)]
     with pytest.raises(ValueError):
-        partition.rebalance_moves({0: 1, 1: 0}, 1 + 1)
+        partition.transfers({0: 1, 1: 0}, 1 + 1)
     with pytest.raises(ValueError):
         partition.dirichlet_weights(["a"], alpha=0)
 
@@ -124,7 +139,7 @@ def test_training_steps(spark):
     assert training.communication(states, clients=5).first().asDict() == {"bytes_up": 16, "bytes_down": 40}
     ck = spark.createDataFrame([("a", 0, 1, 1, "r0", 0.1), ("a", 1, 1, 1, "x", 0.5), ("a", 1, 2, 1, "y", 0.5), ("a", 2, 1, 1, "z", None)], "arm string, round int, step int, epoch int, name string, loss double")
     assert training.best_checkpoint(ck, "arm").first().name == "x"
-    assert training.latest_checkpoint(ck, "arm").first().name == "z"
+    assert training.latest_checkpoint(ck.withColumn("mtime", F.col("loss")), "arm").first().name == "z"
     rounds = spark.createDataFrame([(4, 42, 0.5), (6, 42, 0.5), (8, 42, 0.4)], "round int, seed int, accuracy double")
     assert training.best_round(rounds).first().round == 4
     mask = spark.sql("select array(7, 8) p, array(1, 2) a").select(training.masked_labels(F.col("p"), F.col("a"))).first()[0]
