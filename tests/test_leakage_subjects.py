@@ -54,6 +54,21 @@ def test_issues(spark, make_items):
     leakage.assert_no_leakage(leakage.issues(support.where("false"), evaluation))
 
 
+def test_pairs_of_a_hot_question_are_made_by_all_tasks(spark, make_items):
+    def hot(split, n):
+        return [(f"{split}{i}", "Which is TRUE?" if i % 2 else "which, is true", O, split) for i in range(n)]
+
+    keyed = leakage.keyed(make_items(hot("train", 150) + hot("test", 120) + [("t", "other", O, "train"), ("x", "lonely", O, "test"), ("t", "other", O, "test")]))
+    s, e = keyed.where("split = 'train'"), keyed.where("split = 'test'")
+    found = leakage.exact_issues(s.unionAll(s), e)
+    got = [tuple(r) for r in found.select("kind", "support_id", "evaluation_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(k, f"train{i}", f"test{j}") for k in (1, 2) for i in range(150) for j in range(120)} | {(k, "t", "t") for k in (0, 1, 2)}
+    # Behind the pairs nothing is joined, shuffled or compared: there are as many as the square of the rows.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not {"Aggregate", "Join", "Repartition"} & set(plan[: plan.index("Generate")].replace("(", " ").split())
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and found.groupBy(F.spark_partition_id()).count().where("count > 6000").count() == 4
+
+
 def test_decontaminate_is_sequential(spark, make_items):
     df = make_items(
         [
