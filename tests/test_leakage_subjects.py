@@ -69,6 +69,20 @@ def test_pairs_of_a_hot_question_are_made_by_all_tasks(spark, make_items):
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and found.groupBy(F.spark_partition_id()).count().where("count > 6000").count() == 4
 
 
+def test_near_pairs_are_named_once_without_a_shuffle_of_them(spark, make_items):
+    q = ["one two three four five six seven", "one two three four five six seven eight", "six seven one two three four five", "nine one two three four five six seven"]
+    train = [(f"t{i}", q[i % 2], [str(i)] + O[1:], "train") for i in range(60)] + [("t0", q[3], O, "train"), ("t1", q[2], O, "train"), ("u", "???", O, "train")]
+    test = [(f"e{i}", q[2], [f"x{i}"] + O[1:], "test") for i in range(50)] + [("e0", q[3], O, "test"), ("e1", q[0], O, "test"), ("w", "!", ["z"] + O[1:], "test")]
+    keyed = leakage.keyed(make_items(train + test))
+    found = leakage.issues(keyed.where("split = 'train'"), keyed.where("split = 'test'"))
+    got = [tuple(r) for r in found.collect()]
+    want = {("lexical_near_duplicate", s, e, f"{x / y:.6f}") for s, a, _, _ in train for e, b, _, _ in test if a != b and a != "???" and b != "!" for x, y in [jaccard(a, b)] if x * 20 >= y * 17}
+    assert len(got) == len(set(got)) and {g for g in got if g[0] == "lexical_near_duplicate"} == want and len(want) > 2900
+    assert {g for g in got if g[0] == "normalized_question"} == {("normalized_question", s, e, "" if a == "???" else a) for s, a, _, _ in train for e, b, _, _ in test if a == b or (a, b) == ("???", "!")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if "Aggregate [" in x and "support_id" in x and "evaluation_id" in x]
+
+
 def test_decontaminate_is_sequential(spark, make_items):
     df = make_items(
         [
